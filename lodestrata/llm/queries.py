@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["similar"]
+MODULES = ["similar", "distinctive"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
