@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["similar", "distinctive"]
+MODULES = ["similar", "distinctive", "neardup"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
