@@ -228,9 +228,6 @@ def classes_of(docs: DataFrame, p: NearDupParams) -> DataFrame:
     return arrow_map(docs, read_sets, "id string, c1 long, c2 long, n int, grams array<long>")
 
 
-SEGMENT_SCHEMA = "part long, gram long, c1 long, c2 long, n int, place int, block int, other int"
-
-
 def overlaps_in_fragment(table: pa.Table, p: NearDupParams) -> pa.Table:
     """(a1, a2, b1, b2, partial): n-grams of this fragment that two prefixes share, by pair."""
     c1, c2 = table.column("c1").to_numpy(), table.column("c2").to_numpy()
@@ -247,10 +244,13 @@ def overlaps_in_fragment(table: pa.Table, p: NearDupParams) -> pa.Table:
             continue
         at = order[a:b]
         sizes, places, blocks = n[at], place[at], block[at]
+        across = other[at[0]] >> 15 != other[at[0]] & 0x7FFF
         # partners of i: larger or equal sets, up to n / threshold
         upto = np.searchsorted(sizes, sizes / p.threshold + 1e-9, side="right")
         for i in range(len(at) - 1):
             j = np.arange(i + 1, upto[i])
+            if across:  # pairs of one block are counted in its own cell
+                j = j[blocks[j] != blocks[i]]
             if not len(j):
                 continue
             need = np.ceil((sizes[i] + sizes[j]) * (p.threshold / (1 + p.threshold)) - 1e-9)
