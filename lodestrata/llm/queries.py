@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["similar", "distinctive", "neardup", "tokens", "packing", "handwritten", "credentials"]
+MODULES = ["similar", "distinctive", "neardup", "tokens", "packing", "handwritten", "credentials", "docpairs"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
