@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["similar", "distinctive", "neardup", "tokens", "packing", "handwritten", "credentials", "docpairs"]
+MODULES = ["similar", "distinctive", "neardup", "tokens", "packing", "handwritten", "credentials", "docpairs", "spam"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
