@@ -98,11 +98,9 @@ def _canonical(raw: Column) -> Column:
 
 def comparators(query: Column) -> Column:
     """The two things compared, as an array; null if there aren't two different ones."""
-    pairs = []
-    for pattern in COMPARISONS:
-        a, b = (_canonical(F.regexp_extract(query, pattern, i)) for i in (1, 2))
-        pairs.append(F.when(a.isNotNull() & b.isNotNull() & (a != b), F.array(a, b)))
-    return F.coalesce(*pairs)
+    raw = F.array(*[F.struct(F.regexp_extract(query, p, 1).alias("a"), F.regexp_extract(query, p, 2).alias("b")) for p in COMPARISONS])
+    pairs = F.transform(raw, lambda p: F.transform(F.array(p["a"], p["b"]), _canonical))
+    return F.get(F.filter(pairs, lambda p: F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull() & (F.get(p, F.lit(0)) != F.get(p, F.lit(1)))), F.lit(0))
 
 
 def similarities(queries: DataFrame, protos: DataFrame) -> DataFrame:
