@@ -146,6 +146,8 @@ def weak_label(f: list[float] | np.ndarray) -> int:
         return 1
     if formatted:
         return 0 if g("link_chars") < 0.4 else -1
+    if g("explained") > 0.7 and g("stops") > 0.2 and g("pair") < 0.22:
+        return 0
     if votes and not few:
         return 1
     if g("sentences") > 0.6 and g("pair") < 0.27 and g("link_chars") < 0.3:
