@@ -33,7 +33,7 @@ def searchable_text(identifier: Column, signature: Column, docstring: Column) ->
 
 def truncate_bytes(text: Column, limit: int, mark: str = "") -> Column:
     """At most ``limit`` bytes of UTF-8, no character cut in two; ``mark`` follows where something was cut."""
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit), "UTF-8"), "�+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string")), "\ufffd+$", "")
     return F.when(F.octet_length(text) > limit, F.concat(cut, F.lit(mark))).otherwise(text)
 
 

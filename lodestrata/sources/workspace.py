@@ -17,7 +17,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = root.rstrip("/") + "/"
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + prefix.replace(".", r"\."), "")
-    named = files.select(paths.normalize_path(relative).alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+    named = files.select(paths.normalize_path(relative).alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return named.where(~paths.skipped(F.col("file_path")))
 
 
