@@ -42,8 +42,8 @@ class NearDupParams:
     min_tokens: shorter records take no part. extension: how many n-grams the
     extended prefixes of a pair must share. hot: records that one cell of a
     shared n-gram holds. expand: two classes of equal sets come out as all
-    their pairs while these number at most this many, else as the pairs of
-    each one's first id with all of the other. block_records: records that a
+    their pairs while these number at most this many, else as the pair of
+    their first ids; a large class links each copy with its first id. block_records: records that a
     map task packs at a time.
     """
 
@@ -323,7 +323,7 @@ class NearDuplicates:
         wide = self.members.join(size, ["c1", "c2"])
         side = lambda s: wide.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("id").alias(f"{s}id"), F.col("n").alias(f"{s}n"), F.col("first").alias(f"{s}first"))
         apart = self.links.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-        apart = apart.where((F.col("an") * F.col("bn") <= p.expand) | (F.col("aid") == F.col("afirst")) | (F.col("bid") == F.col("bfirst")))
+        apart = apart.where((F.col("an") * F.col("bn") <= p.expand) | ((F.col("aid") == F.col("afirst")) & (F.col("bid") == F.col("bfirst"))))
         apart = apart.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b"), "similarity")
         copies = wide.where("n > 1")
         few = copies.where(F.col("n") * F.col("n") <= p.expand)
@@ -351,6 +351,33 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, params: NearDupPa
     return NearDuplicates(sets.select("id", "c1", "c2"), class_pairs(one, p), p)
 
 
+def near_duplicate_groups(found: NearDuplicates) -> DataFrame:
+    """(id, group_id, links): the connected component of each linked record, named by its smallest id.
+
+    Labels of the classes' graph are pulled down to the smallest neighbour and
+    then along the labels themselves, so chains shorten by half each round.
+    """
+    name = lambda a, b: F.concat_ws(":", a, b)
+    pairs = found.links.select(name("a1", "a2").alias("a"), name("b1", "b2").alias("b"))
+    member = found.members.select("id", name("c1", "c2").alias("node"))
+    both = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = cut_lineage(member.select("node").distinct().withColumn("label", F.col("node")))
+    while True:
+        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
+        pulled = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("to"), "label")
+        jump = label.select(F.col("node").alias("to"), F.col("label").alias("far"))
+        step = cut_lineage(pulled.join(jump, "to").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("moved")))
+        label = step.select("node", "label")
+        if step.where("moved").isEmpty():
+            break
+    size = member.groupBy("node").agg(F.count("*").alias("n"))
+    near = both.join(size.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("n").alias("near"))
+    wide = member.join(label, "node").join(size, "node").join(near.withColumnRenamed("a", "node"), "node", "left")
+    wide = wide.withColumn("links", F.col("n") - 1 + F.coalesce("near", F.lit(0)))
+    first = wide.groupBy("label").agg(F.min("id").alias("group_id"))
+    return wide.where("links > 0").join(first, "label").select("id", "group_id", "links")
+
+
 CODE = NearDupParams(words=3, threshold=0.7, min_tokens=20)
 
 
@@ -360,4 +387,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.pairs().select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and number of links of each chunk that has a near-duplicate."""
+    return near_duplicate_groups(near_duplicates(read(spark, sf_dir, "code_chunks"), "chunk_id", "code_content", CODE))
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
