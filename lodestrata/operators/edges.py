@@ -42,13 +42,34 @@ def resolve(chunks: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFram
     Tier 1: the only candidate in the caller's file. Tier 2: the only one whose
     path fits the import of that name in the caller's file (the last import
     holds). Tier 3: the only one at all. ``imports``: (file_path, imported_name, source_path).
+
+    The candidates of a name are never listed for each call: they are counted
+    once for each name, for each name and file, and for each name and import,
+    with the least and greatest id; a count of one, the caller set aside, tells
+    the candidate. So a name that very many chunks share costs one row.
     """
+    named = chunks.select(F.col("identifier").alias("callee_identifier"), F.col("file_path").alias("file"), "chunk_id")
+    who = chunks.select(F.col("chunk_id").alias("caller"), F.col("file_path").alias("caller_file"), F.col("identifier").alias("caller_name"))
     last = imports.groupBy(F.col("file_path").alias("caller_file"), F.col("imported_name").alias("callee_identifier")).agg(F.max("source_path").alias("source"))
-    wide = candidates(chunks, calls).join(last, ["caller_file", "callee_identifier"], "left")
-    local = F.col("caller_file") == F.col("callee_file")
-    fits = F.coalesce(import_matches(F.col("callee_file"), F.col("source")), F.lit(False))
-    only = lambda cond: F.when(F.count_if(cond) == 1, F.max(F.when(cond, F.col("callee"))))
-    best = wide.groupBy("caller", "callee_identifier").agg(only(local).alias("t1"), only(fits).alias("t2"), only(F.lit(True)).alias("t3"))
+
+    def counted(df: DataFrame, keys: list[str], tier: int) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias(f"n{tier}"), F.min("chunk_id").alias(f"low{tier}"), F.max("chunk_id").alias(f"high{tier}"))
+
+    by_file = counted(named, ["callee_identifier", "file"], 1).withColumnRenamed("file", "caller_file")
+    wanted = last.select("callee_identifier", "source").distinct()
+    by_import = counted(wanted.join(named, "callee_identifier").where(import_matches(F.col("file"), F.col("source"))), ["callee_identifier", "source"], 2)
+    by_name = counted(named, ["callee_identifier"], 3)
+    wide = calls.distinct().join(who, "caller").join(by_name, "callee_identifier").join(by_file, ["callee_identifier", "caller_file"], "left")
+    wide = wide.join(last, ["caller_file", "callee_identifier"], "left").join(by_import, ["callee_identifier", "source"], "left")
+    own = F.col("caller_name") == F.col("callee_identifier")
+    among = {1: own, 2: own & F.coalesce(import_matches(F.col("caller_file"), F.col("source")), F.lit(False)), 3: own}
+
+    def only(tier: int) -> Column:
+        n, low, high = F.col(f"n{tier}"), F.col(f"low{tier}"), F.col(f"high{tier}")
+        other = F.when(low == F.col("caller"), high).otherwise(low)
+        return F.when(among[tier] & (n == 2), other).when(~among[tier] & (n == 1), low)
+
+    best = wide.select("caller", "callee_identifier", *[only(t).alias(f"t{t}") for t in (1, 2, 3)])
     tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3)
     found = best.select("caller", F.coalesce("t1", "t2", "t3").alias("callee"), "callee_identifier", tier.alias("tier")).where("tier is not null")
     return found.select(edge_id(F.col("caller"), F.col("callee")).alias("edge_id"), "caller", "callee", "callee_identifier", "tier")
