@@ -392,4 +392,15 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(near_duplicates(read(spark, sf_dir, "code_chunks"), "chunk_id", "code_content", CODE))
 
 
+#: brute force, for small tables
+P3_SQL = r"""
+with c as (select chunk_id, regexp_extract_all(lower(any_value(code_content)), '[\p{L}\p{N}]+') as w from code_chunks where chunk_id is not null group by chunk_id),
+g as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from c where len(w) >= 20),
+n as (select chunk_id, count(*) as n from g group by chunk_id),
+rare as (select gram from g group by gram having count(*) > 1),
+o as (select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b, count(*) as shared from g a join g b using (gram) join rare using (gram) where a.chunk_id < b.chunk_id group by all)
+select chunk_id_a, chunk_id_b from o join n x on x.chunk_id = chunk_id_a join n y on y.chunk_id = chunk_id_b where shared >= 0.7 * (x.n + y.n - shared)
+"""
+
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+ORACLES = {"p3_found": P3_SQL}
