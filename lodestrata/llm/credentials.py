@@ -92,7 +92,7 @@ def plausible(value: str, p: CredentialParams, doubtful: bool) -> bool:
         return bool(re.search(r"[\d\W_]", value)) or subword_length(value, p) < p.natural
     if len(value) < p.least or re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)*|[A-Z]+(?:_[A-Z]+)*|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[a-z_]+-?\d+|[\d.:-]+", value):
         return False
-    if re.search(r"[()]|::|->|^[./~]|^\w+://", value):
+    if re.search(r"[()]|\[\]|::|->|^[./~]|^\w+://", value):
         return False
     return subword_length(value, p) < p.natural
 
