@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.llm.common import arrow_map, read
+from lodestrata.runtime import cut_lineage
 
 GENERATED, VENDORED, MINIFIED, DATA = 1, 2, 4, 8
 
@@ -249,7 +250,8 @@ def not_handwritten(chunks: DataFrame, path_col: str, text_col: str, attributes:
         yield pa.RecordBatch.from_arrays([batch.column("file_path"), found], names=["file_path", "evidence"])
 
     shown = arrow_map(src, show, "file_path string, evidence int")
-    spelled = shown.groupBy("file_path").agg(F.bit_or("evidence").alias("evidence")).withColumn("path", normal_path(F.col("file_path")))
+    # one row for each file; what follows reads it several times
+    spelled = cut_lineage(shown.groupBy("file_path").agg(F.bit_or("evidence").alias("evidence")).withColumn("path", normal_path(F.col("file_path"))))
     files = spelled.groupBy("path").agg(F.bit_or("evidence").alias("evidence"))
     mined = mined_patterns(files, params or MiningParams())
     has = files.select("path", "evidence", patterns_of(F.col("path")).alias("patterns"))
