@@ -60,6 +60,7 @@ HELP = re.compile(r"^\s*(?:-{1,2}[\w-]+[ ,=\t]|usage:|options:|\$ )", re.I)
 TABLE = re.compile(r"^\s*\|.*\|\s*$")
 CHANGE = re.compile(r"^\s*(?:[-*+]\s+)?(?:#+\s*)?(?:\[?v?\d+\.\d+(?:\.\d+)*\]?|(?:fix(?:e[ds])?|add(?:ed|s)?|chang(?:e|ed|es)|remov(?:e|ed|es)|deprecat\w+|improv\w+|bump\w*|updat\w+|renam\w+|drop\w*|feat|chore|refactor|perf|docs?)\b[:(\s])", re.I)
 SEPARATOR = re.compile(r"\s*(?:[|;,•·»>]{1,2}|\s/\s|<br\s*/?>|\n)\s*", re.I)
+SENTENCE_END = re.compile(r"[.!?]+(?:\s|$)")
 ITEM_MARK = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 FEATURES = ["words", "unique", "stops", "link_chars", "link_lines", "explained", "hashtags", "codes", "pair", "pairs", "word", "short_parts", "sentences", "shouts", "logged", "tables", "help", "changes", "fenced", "template", "any_pair", "starts"]
 
@@ -87,8 +88,8 @@ def features_of(text: str | None) -> list[float]:
     for x in linked:
         rest = [w.lower() for w in WORD.findall(URL.sub(" ", re.sub(r"<[^<>]*>", " ", x)))]
         explained += len(rest) >= 5 and sum(w in STOP for w in rest) >= 2 and len(rest) >= 4 * len(URL.findall(x))
-    parts = [p for p in SEPARATOR.split(re.sub(r"[.!?]+(?:\s|$)", "\n", bare)) if p.strip()]
-    short = sum(len(WORD.findall(p)) for p in parts if len(WORD.findall(ITEM_MARK.sub("", p))) <= 4)
+    parts = [len(WORD.findall(ITEM_MARK.sub("", p))) for p in SEPARATOR.split(SENTENCE_END.sub("\n", bare)) if p.strip()]
+    short = sum(p for p in parts if p <= 4)
     spoken, sentence_words = Counter(), 0
     for s in re.split(r"(?<=[.!?])\s+|\n+|[。！？]", bare):
         w = [x.lower() for x in WORD.findall(s)]
@@ -98,7 +99,7 @@ def features_of(text: str | None) -> list[float]:
     starts = Counter(tuple(w) for w in ([x.lower() for x in WORD.findall(line)[:2]] for line in lines) if len(w) == 2 and all(x.isalpha() for x in w))
     chars = max(len(text.strip()), 1)
     count = max(len(lines), 1)
-    mixed = sum(1 for w in words if any(c.isdigit() for c in w) and any(c.isalpha() for c in w))
+    mixed = sum(not w.isalpha() and not w.isdigit() for w in words)
     share = lambda pattern: sum(bool(pattern.match(x)) for x in lines) / count
     return [
         math.log1p(len(words)),
@@ -250,13 +251,13 @@ def spam_scores(df: DataFrame, id_col: str, text_col: str, host_col: str, params
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{host_col}`").cast("string").alias("host"))
     rows = src.count()
     share = min(1.0, p.train_rows / max(1, rows))
-    sample = src.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).limit(p.train_rows)
+    sample = src.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20) + 1))
 
     def measure(batch: pa.RecordBatch):
         x = np.array([features_of(t) for t in batch.column("text").to_pylist()], np.float32).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float32()))})
 
-    found = arrow_map(sample.select("text"), measure, "x array<float>").toArrow().column("x")
+    found = arrow_map(sample.select("text"), measure, "x array<float>").limit(p.train_rows).toArrow().column("x")
     x = np.array(found.to_pylist(), np.float32).reshape(-1, len(FEATURES))
     y = np.array([weak_label(f) for f in x], np.int64)
     trees = bag(x[y >= 0], y[y >= 0], p)
