@@ -37,9 +37,10 @@ class SimilarityParams:
     the codes lose nothing. nprobe: lists a query scans, or, as a float, their share of all. refine: without
     min_similarity, refine * k members a list are reranked.
     train_rows: bound of the sample that centroids and codebooks are fitted on.
-    unit_rows: members a work unit may hold. expand: two classes of exact
-    copies come out as all their pairs while these number at most this many,
-    else as the pairs of each one's first id with all of the other.
+    unit_rows: members a work unit may hold. expand: None gives every copy its
+    own k neighbours, however many copies there are. Where given, of a class of
+    n copies with n * n beyond it only the first id is searched and found; each
+    other copy has one link with the first.
     """
 
     dim: int = 64
@@ -50,7 +51,7 @@ class SimilarityParams:
     subvectors: int = 16
     train_rows: int = 16384
     unit_rows: int = 16384
-    expand: int = 4096
+    expand: int | None = None
     iterations: int = 8
     seed: int = 7
     max_lists: int = 4096
@@ -395,13 +396,22 @@ class VectorIndex:
         # one exchange by class serves the removal of copies, the sizes and the joins
         return out.repartition("f", "h1", "h2").distinct()
 
+    def _represented(self, member: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members without the copies that ``expand`` leaves to their first id, and their links (f, id, neighbour)."""
+        size = member.groupBy("f", "h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+        wide = member.join(size, ["f", "h1", "h2"])
+        left = (F.col("n") * F.col("n") > self.p.expand) & (F.col("id") != F.col("first"))
+        both = F.array(F.struct("id", F.col("first").alias("neighbour")), F.struct(F.col("first").alias("id"), F.col("id").alias("neighbour")))
+        star = wide.where(left).select("f", F.explode(both).alias("s")).select("f", "s.id", "s.neighbour")
+        return wide.where(~left).select("f", "h1", "h2", "id"), star
+
     def neighbours(self, queries=None, symmetric: bool | None = None) -> DataFrame:
         """(field, id, neighbour, similarity, rank), the k most similar of each queried class.
 
         symmetric: a pair that either side found counts for both (every row
         asks). Vectors that are null, of another length, not finite or all
-        zero take no part; ties fall to the smaller hash. Of a class of exact
-        copies too large to expand its first id stands for it.
+        zero take no part. Equally similar ids are taken in their order, among
+        the k nearest classes of copies; equally near classes fall to the smaller hash.
         """
         p = self.p
         found = self.class_pairs(queries)
@@ -412,21 +422,23 @@ class VectorIndex:
         found = found.groupBy("f", "a1", "a2", "b1", "b2").agg(F.max("similarity").alias("similarity"))
         w = Window.partitionBy("f", "a1", "a2").orderBy(F.desc("similarity"), "b1", "b2")
         top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.k)
-        member = self.members()
-        size = member.groupBy("f", "h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        side = lambda s: member.join(size, ["f", "h1", "h2"]).select("f", F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("first").alias(f"{s}_first"))
-        wide = top.join(side("a"), ["f", "a1", "a2"]).join(side("b"), ["f", "b1", "b2"])
-        wide = wide.where((F.col("a_n") * F.col("b_n") <= p.expand) | ((F.col("a_id") == F.col("a_first")) & (F.col("b_id") == F.col("b_first"))))
-        apart = wide.select("f", F.col("a_id").alias("id"), F.col("b_id").alias("neighbour"), "similarity")
-        copies = member.join(size.where("n > 1"), ["f", "h1", "h2"])
-        pairs = copies.alias("x").join(copies.where(F.col("n") * F.col("n") <= p.expand).alias("y"), ["f", "h1", "h2"]).where("x.id <> y.id").select("f", F.col("x.id").alias("id"), F.col("y.id").alias("neighbour"))
-        star = copies.where((F.col("n") * F.col("n") > p.expand) & (F.col("id") != F.col("first"))).select("f", F.explode(F.array(F.struct(F.col("id").alias("id"), F.col("first").alias("neighbour")), F.struct(F.col("first").alias("id"), F.col("id").alias("neighbour")))).alias("s")).select("f", "s.id", "s.neighbour")
-        same = pairs.withColumn("similarity", F.lit(1.0))
-        links = apart.unionByName(same) if queries is None else apart.unionByName(same).where(queries)
-        ranked = links.withColumn("rank", F.row_number().over(Window.partitionBy("f", "id").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("rank") <= p.k)
-        # membership of large classes: each copy has this one link, so it isn't cut to k
-        member_of = star if queries is None else star.where(queries)
-        every = ranked.unionByName(member_of.select("f", "id", "neighbour", F.lit(1.0).alias("similarity"), F.lit(1).alias("rank")))
+        member, star = self.members(), None
+        if p.expand is not None:
+            member, star = self._represented(member)
+        # no id needs more of a class than its k smallest ids besides itself, nor more than k others of all classes
+        key, by_id = ["f", "h1", "h2"], Window.partitionBy("f", "h1", "h2").orderBy("id")
+        few = member.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= p.k + 1).groupBy(*key).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        near = top.join(few.select("f", F.col("h1").alias("b1"), F.col("h2").alias("b2"), "ids"), ["f", "b1", "b2"]).select("f", F.col("a1").alias("h1"), F.col("a2").alias("h2"), "similarity", F.slice("ids", 1, p.k).alias("ids"))
+        own = few.where(F.size("ids") > 1).select(*key, F.lit(1.0).alias("similarity"), "ids")
+        entries = F.transform("ids", lambda i: F.struct((-F.col("similarity")).alias("far"), i.alias("neighbour")))
+        best = near.unionByName(own).groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list(entries))), 1, p.k + 1).alias("best"))
+        asking = member if queries is None else member.where(queries)
+        others = F.slice(F.filter("best", lambda x: x["neighbour"] != F.col("id")), 1, p.k)
+        every = asking.join(best, key).select("f", "id", F.posexplode(others).alias("at", "x"))
+        every = every.select("f", "id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.far")).alias("similarity"), (F.col("at") + 1).alias("rank"))
+        if star is not None:
+            # membership of large classes: each copy has this one link, so it isn't cut to k
+            every = every.unionByName((star if queries is None else star.where(queries)).withColumns({"similarity": F.lit(1.0), "rank": F.lit(1)}))
         names = F.element_at(F.array(*[F.lit(f) for f in self.fields]), F.col("f") + 1)
         return every.select(names.alias("field"), "id", "neighbour", "similarity", "rank")
 

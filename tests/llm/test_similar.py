@@ -73,5 +73,25 @@ def test_many_copies_form_a_star(spark):
     assert len(found) == 2 * 99
 
 
+def test_copies_have_the_same_neighbours_at_every_class_size(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=64)
+    b, c = a + 0.1 * rng.normal(size=64), rng.normal(size=64)
+    sizes = {"a": 70, "b": 9, "c": 1, "d": 4200, "e": 1}
+    vectors = dict(zip("abcde", (a, b, c, -a, -b)))
+    ids = [f"{name}{j:04d}" for name, n in sizes.items() for j in range(n)]
+    of = {name: v.astype(np.float32).tolist() for name, v in vectors.items()}
+    want = set()
+    for i in ids:
+        own, other = ([j for j in ids if j[0] == n and j != i][:10] for n in (i[0], {"a": "b", "b": "a", "d": "e", "e": "d"}.get(i[0], "-")))
+        want |= {(i, j, r) for r, j in enumerate([*own, *other][:10], 1)}
+    p = SimilarityParams(min_similarity=0.9, nprobe=1.0)
+    found = similar_vectors(frame(spark, [(i, of[i[0]]) for i in ids]), "id", ["v"], p)
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.id, r.neighbour, r.rank) for r in rows} == want
+    asked = similar_vectors(frame(spark, [(i, of[i[0]]) for i in ids]), "id", ["v"], p, queries=F.col("id").isin("a0069", "b0008", "e0000")).collect()
+    assert {(r.id, r.neighbour, r.rank) for r in asked} == {x for x in want if x[0] in ("a0069", "b0008", "e0000")}
+
+
 def test_empty_table(spark):
     assert similar_vectors(frame(spark, []), "id", ["v"], SimilarityParams(min_similarity=0.9)).count() == 0
