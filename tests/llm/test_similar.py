@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestrata.llm.similar import SimilarityParams, similar_vectors
+from lodestrata.llm.similar import SimilarityParams, fit, lay_out, route, scan_unit, similar_vectors
 
 SCHEMA = "id string, v array<float>, `rank` int, field string"
 
@@ -93,5 +94,18 @@ def test_copies_have_the_same_neighbours_at_every_class_size(spark):
     assert {(r.id, r.neighbour, r.rank) for r in asked} == {x for x in want if x[0] in ("a0069", "b0008", "e0000")}
 
 
+def test_a_copy_that_asks_goes_before_a_mute_one_of_another_batch():
+    _, x = data(120)
+    p = SimilarityParams(nprobe=2)
+    model = fit(x, 4, p)
+    starts = lay_out([model], [np.array([30] * 4)], p.unit_rows)
+    h = np.arange(len(x), dtype=np.int64)
+    # the first batch has id 0 mute beside rows that ask two lists of the unit; the second has its copy, asking
+    first = route(x, h, h.astype(np.int32), h % 2 == 1, model, p)
+    second = route(x[:1], h[:1], h[:1].astype(np.int32), np.array([True]), model, p)
+    found = scan_unit(pa.Table.from_batches([*first, *second]), starts, [model], p).to_pydict()
+    assert set(found["a1"]) == {0, *range(1, len(x), 2)}
+
+
 def test_empty_table(spark):
     assert similar_vectors(frame(spark, []), "id", ["v"], SimilarityParams(min_similarity=0.9)).count() == 0
