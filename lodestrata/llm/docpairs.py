@@ -3,7 +3,8 @@
 One recursive pattern for each language takes a documentation comment, the
 signature under it and the balanced body together; strings, comments and
 character literals are matched as wholes, so a brace or a keyword inside them
-counts for nothing. What follows decides whether the description is real.
+counts for nothing. A run of comments that no function follows is passed over
+whole, not once for each of its lines. What follows decides whether the description is real.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ RUST = CURLY % r"""
   (?:pub(?:\s*(?&par))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+"[^"]*")?)\s+)*+
   fn\s+(?P<name>\w++)(?:[^{};()"]++|(?&par)|(?&str))*+(?P<block>(?&body))
 )
+| (?:(?:///(?!/)[^\n]*+|/\*\*(?![*/])(?:[^*]++|\*(?!/))*+\*/)\s*+)++
 | (?&str) | (?&chr) | (?&note)
 """
 SCRIPT = CURLY % r"""
@@ -67,6 +69,7 @@ SCRIPT = CURLY % r"""
   | (?<![\w$.])(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*+\*?\s*(?!(?:if|for|while|switch|catch|function|return|with|do|else|new|typeof|await|super|throw|import)\b)\#?(?<![\w$.])(?P<name>[\w$]++)\s*(?:<[^<>(){}]*+>)?\s*(?&par)\s*(?::(?:[^{};=<]++|(?&gen))++)?(?P<block>(?&body))
   )
 )
+| (?:/\*\*(?![*/])(?:[^*]++|\*(?!/))*+\*/\s*+)++
 | (?&str) | (?&tpl) | (?&note) | [\w$]++(?:\.[\w$]++)*+\s*(?&par)(?!\s*[:{])
 """
 GO = CURLY % r"""
@@ -76,6 +79,7 @@ GO = CURLY % r"""
   (?P<doc>(?:(?:[ \t]*//[^\n]*+\n|[ \t]*/\*(?:[^*]++|\*(?!/))*+\*/[ \t]*\n)++)?+)
   [ \t]*func\s+(?:(?&par)\s*)?(?P<name>\w++)\s*(?:\[[^\[\]]*+\])?\s*(?&par)[^{}\n]*+(?:(?&par)\s*)?(?P<block>(?&body))
 )
+| (?:[ \t]*//[^\n]*+\n|[ \t]*/\*(?:[^*]++|\*(?!/))*+\*/[ \t]*\n)++
 | (?&str) | (?&tpl) | (?&note) | (?&chr)
 """
 PYTHON = r"""
@@ -94,7 +98,6 @@ PYTHON = r"""
 """
 
 FLAGS = regex.X | regex.S | regex.V0
-TIMEOUT_S = 2.0
 
 
 @lru_cache(maxsize=None)
@@ -106,18 +109,11 @@ def pattern(language: str) -> regex.Pattern | None:
 
 
 def functions_of(code: str | None, language: str) -> list[tuple[str, str, str]]:
-    """(name, raw documentation, code) of the functions and methods written out in ``code``."""
+    """(name, raw documentation, code) of the functions and methods written out in ``code``, read to its end without a time limit."""
     found = pattern(language or "")
     if not code or found is None:
         return []
-    out = []
-    try:
-        for m in found.finditer(code, timeout=TIMEOUT_S):
-            if m.group("fn") is not None:
-                out.append((m.group("name"), m.group("doc") or "", m.group("fn")))
-    except TimeoutError:
-        pass  # what was found until then stands
-    return out
+    return [(m.group("name"), m.group("doc") or "", m.group("fn")) for m in found.finditer(code) if m.group("fn") is not None]
 
 
 def text_of_comment(raw: str, language: str) -> str:

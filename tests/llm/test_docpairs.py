@@ -55,6 +55,18 @@ def test_docstring_column_counts_for_functions_only():
     assert documented(f"/// {SAID}\nfn a() {{}}", "rust", "function_item", "a", "TODO") == {"a"}
 
 
+def test_texts_of_several_mb_are_read_to_their_end():
+    one = f'    pub fn a() {{ let s = "}}"; s.map(|x| {{ x + 1 }}) }}\n'
+    code = one * (16_000_000 // len(one)) + f"/// {SAID}\nfn last() {{}}\n"
+    assert documented(code, "rust") == {"last"}
+
+
+@pytest.mark.parametrize(("language", "comment", "last"), [("rust", f"/// {SAID}\n", "fn last() {}"), ("typescript", f"/** {SAID} */\n", "function last() {}"), ("go", f"// {SAID}\n", "func last() {}")])
+def test_long_runs_of_comments_before_something_else(language, comment, last):
+    code = comment * 40_000 + f"type A = 1;\n{comment}{last}\n"
+    assert documented(code, language) == {"last"}
+
+
 def test_table(spark):
     schema = "chunk_id string, language string, node_type string, identifier string, docstring string, code_content string, function_name string, code int"
     rows = [("a", "go", "function_declaration", "f", None, f"// {SAID}\nfunc f() {{}}", "x", 1), ("n", None, None, None, None, None, "x", 1), (None, "go", "function_declaration", "f", SAID, "func f() {}", "x", 1), ("l", "rust", "function_item", "g", SAID, "fn g() {" + "x();" * 40000 + "}", "x", 1)]
