@@ -61,19 +61,25 @@ VENDORED_HEADER = re.compile(
   | \btaken\ over\ from\ upstream\b
     """
 )
-HEADER_LINES = 12
+LINE = re.compile(r"[^\n]+")
 
 
 def header_of(text: str) -> list[str]:
-    """The comment lines a chunk begins with, without their markers."""
-    out = []
-    for line in text.split("\n", HEADER_LINES)[:HEADER_LINES]:
+    """The comment lines a chunk begins with, to the first line of code, without their markers."""
+    out, block = [], ""
+    for found in LINE.finditer(text):
+        line = found.group()
         if not line.strip():
             continue
         m = COMMENT_LINE.match(line)
-        if not m:
+        if not m and not block:
             break
-        out.append(m.group(1).strip())
+        out.append((m.group(1) if m else line.split(block)[0]).strip())
+        # lines within a block comment need no marker of their own
+        if not block:
+            block = {"/*": "*/", "<!--": "-->"}.get(next((x for x in ("/*", "<!--") if line.lstrip().startswith(x)), ""), "")
+        if block and block in line:
+            block = ""
     return out
 
 

@@ -20,6 +20,19 @@ def test_headers():
     assert evidence_of("# pays the vendor of the job\ndef a(): pass") == 0
 
 
+def test_headers_after_long_licence_comments():
+    licence = [f"Licence text, line {k}." for k in range(40)]
+    mark = "Code generated by x from y; DO NOT EDIT."
+    lined = "\n".join(f"// {x}" for x in licence)
+    assert evidence_of(f"{lined}\n\n// {mark}\n\npackage a") == GENERATED
+    assert evidence_of(f"{lined}\npackage a\n// {mark}\n") == 0
+    assert evidence_of("/*\n * " + "\n * ".join([*licence, mark]) + "\n */\npackage a") == GENERATED
+    plain = "/*\n" + "\n".join(licence) + "\n*/\n"
+    assert evidence_of(f"{plain}// {mark}\npackage a") == GENERATED
+    assert evidence_of(f"{plain}package a\n// {mark}\n") == 0
+    assert evidence_of(f"/* a */ package a\n{mark}\n") == 0
+
+
 def test_shapes():
     mini = "!function(t,e){" + "var n=v.filter||{},q=75092;k.a=function(z,p){return z?p.r(1):null};" * 8 + "}()"
     assert evidence_of(mini) == MINIFIED
