@@ -202,7 +202,7 @@ def redact(text: str | None, p: CredentialParams, mask: str = "*") -> str | None
 
 
 #: one of these must stand in a text that holds a credential
-HINT = r"(?i)pass|pwd|secret|token|key|auth|bearer|credential|log_?in|sign_?in|://|akia|asia|gh[pousr]_|xox|eyj|glpat|sk_live"
+HINT = r"(?i)pass|pwd|secret|token|key|auth|bearer|credential|log_?in|sign_?in|://|akia|asia|aiza|gh[pousr]_|xox|eyj|glpat|sk_live"
 
 
 def credentials(df: DataFrame, id_col: str, text_col: str, params: CredentialParams | None = None) -> DataFrame:

@@ -46,3 +46,11 @@ def test_table(spark):
     df = spark.createDataFrame([("a", 'pwd = "xv68Jp2DuBfY7Bi6Vh9UJ"', 1, "s"), ("n", None, 1, "s"), ("e", "", 1, "s"), (None, 'pwd = "xv68Jp2DuBfY7Bi6Vh9UJ"', 1, "s"), ("l", "filler " * 50000 + 'api_key = "MhbEy7htdKM3tyuQc5tGwj"', 1, "s")], "id string, text string, start int, secret string")
     assert {(r.id, r.secret) for r in credentials(df, "id", "text").collect()} == {("a", "xv68Jp2DuBfY7Bi6Vh9UJ"), ("l", "MhbEy7htdKM3tyuQc5tGwj")}
     assert credentials(df.limit(0), "id", "text").count() == 0
+
+
+def test_table_and_redaction_agree_on_known_keys(spark):
+    body = "q7Rk2Vx9Lm4Tz8Wb3Nc6Yd1Hf5Gj0Ps7Ua2"
+    known = ["AKIA" + body[:16].upper(), "ASIA" + body[:16].upper(), *(f"gh{x}_{body}{body}" for x in "pousr"), f"xoxb-{body}", f"AIza{body[:35]}", f"sk_live_{body}", f"glpat-{body}", f"eyJ{body}.eyJ{body}.{body}"]
+    df = spark.createDataFrame([(str(i), f"f('{k}')", 1, "s") for i, k in enumerate(known)], "id string, text string, start int, secret string")
+    assert [find_credentials(r.text, P) for r in df.collect()] == [[(3, 3 + len(k))] for k in known]
+    assert {(r.id, r.secret) for r in credentials(df, "id", "text").collect()} == {(str(i), k) for i, k in enumerate(known)}
