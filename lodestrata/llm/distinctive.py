@@ -120,14 +120,10 @@ def distinctive_terms(
     return scored.select("id", "term", "tf", "cf", "df", z.alias("z"))
 
 
-#: two-sided 5 % point of the normal distribution
-SIGNIFICANT = 1.96
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that mark a chunk: significant z, three times in it, in two to eight chunks."""
+    """Terms that mark a chunk: three times in it, in two to eight chunks, whatever their z."""
     terms = distinctive_terms(read(spark, sf_dir, "code_chunks"), "chunk_id", "code_content", min_tf=3, min_df=2, max_df=8, min_length=4)
-    return terms.where(F.col("z") >= SIGNIFICANT).select(F.col("id").alias("chunk_id"), "term")
+    return terms.select(F.col("id").alias("chunk_id"), "term")
 
 
 P2_SQL = r"""

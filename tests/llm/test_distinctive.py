@@ -3,7 +3,7 @@ import math
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lodestrata.llm.distinctive import distinctive_terms, tokens_of
+from lodestrata.llm.distinctive import distinctive_terms, p2_found, tokens_of
 
 SCHEMA = "id string, text string, term string, z double"
 
@@ -33,6 +33,12 @@ def test_bounds_nulls_and_repeated_rows(spark):
     assert got == {("a", "word"): (3, 4, 2), ("l", "long"): (20000, 20000, 1)}
 
 
+def test_frequency_alone_chooses_rows(spark, tmp_path):
+    rows = [("long", "alpha alpha alpha " + "filler " * 20000), ("short", "alpha " * 17 + "beta beta beta"), ("other", "gamma")]
+    spark.createDataFrame(rows, "chunk_id string, code_content string").write.parquet(f"{tmp_path}/code_chunks.parquet")
+    assert {tuple(r) for r in p2_found(spark, str(tmp_path)).collect()} == {("long", "alpha"), ("short", "alpha")}
+
+
 def test_empty_table(spark):
     assert distinctive_terms(frame(spark, []), "id", "text").count() == 0
 
