@@ -41,10 +41,11 @@ class NearDupParams:
 
     min_tokens: shorter records take no part. extension: how many n-grams the
     extended prefixes of a pair must share. hot: records that one cell of a
-    shared n-gram holds. expand: two classes of equal sets come out as all
-    their pairs while these number at most this many, else as the pair of
-    their first ids; a large class links each copy with its first id. block_records: records that a
-    map task packs at a time.
+    shared n-gram holds. expand: None gives all pairs, however many records
+    have equal sets. Where given, of a class of n equal sets with n * n beyond
+    it only the first id is paired with other classes; each other record of it
+    has one pair, with the first. block_records: records that a map task packs
+    at a time.
     """
 
     words: int = 5
@@ -52,7 +53,7 @@ class NearDupParams:
     min_tokens: int = 5
     extension: int = 2
     hot: int = 2048
-    expand: int = 4096
+    expand: int | None = None
     block_records: int = 32768
     records_per_fragment: int = 65536
 
@@ -318,18 +319,18 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """(a, b, similarity) with a < b; see ``NearDupParams.expand`` for classes of copies."""
-        p = self.params
-        size = self.members.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        wide = self.members.join(size, ["c1", "c2"])
-        side = lambda s: wide.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("id").alias(f"{s}id"), F.col("n").alias(f"{s}n"), F.col("first").alias(f"{s}first"))
+        members, star = self.members, None
+        if self.params.expand is not None:
+            size = members.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+            wide = members.join(size, ["c1", "c2"])
+            left = (F.col("n") * F.col("n") > self.params.expand) & (F.col("id") != F.col("first"))
+            members, star = wide.where(~left).select("id", "c1", "c2"), wide.where(left).select(F.col("first").alias("a"), F.col("id").alias("b"))
+        side = lambda s: members.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("id").alias(f"{s}id"))
         apart = self.links.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-        apart = apart.where((F.col("an") * F.col("bn") <= p.expand) | ((F.col("aid") == F.col("afirst")) & (F.col("bid") == F.col("bfirst"))))
         apart = apart.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b"), "similarity")
-        copies = wide.where("n > 1")
-        few = copies.where(F.col("n") * F.col("n") <= p.expand)
-        same = few.alias("x").join(few.alias("y"), ["c1", "c2"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        star = copies.where((F.col("n") * F.col("n") > p.expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
-        return apart.unionByName(same.unionByName(star).withColumn("similarity", F.lit(1.0)))
+        same = members.alias("x").join(members.alias("y"), ["c1", "c2"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        same = same if star is None else same.unionByName(star)
+        return apart.unionByName(same.withColumn("similarity", F.lit(1.0)))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, params: NearDupParams | None = None) -> NearDuplicates:

@@ -77,6 +77,15 @@ def test_many_copies_form_a_star(spark):
     assert pairs(spark, rows, p) == {("c000", f"c{k:03d}") for k in range(1, 90)} | {("c000", "near")}
 
 
+def test_large_classes_of_equal_sets_come_out_as_all_pairs(spark):
+    text = " ".join(f"t{k}" for k in range(30))
+    rows = [(f"c{k:03d}", text if k % 2 else text.upper()) for k in range(90)] + [(f"n{k:03d}", text + " end") for k in range(50)]
+    want = brute(rows)
+    assert len(want) == 140 * 139 // 2
+    found = near_duplicates(frame(spark, rows), "id", "text", P).pairs().collect()
+    assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
+
+
 def test_groups_are_components(spark):
     rows = collection(60, 4)
     text = " ".join(f"t{k}" for k in range(30))
