@@ -117,6 +117,11 @@ def from_planes(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
+def id_cell(block: int, fragments: int) -> int:
+    """Where a block's ids wait for the answers: spread evenly, whatever the numbers of tasks and fragments."""
+    return fragments + int(mix64(np.array([block], np.uint64))[0] % np.uint64(fragments))
+
+
 def pack_block(block: int, ids: list[str], texts: list[str], fragments: int, p: NearDupParams) -> pa.RecordBatch:
     record, gram = ngrams_of(texts, p)
     size = np.bincount(record, minlength=len(ids))
@@ -142,7 +147,7 @@ def pack_block(block: int, ids: list[str], texts: list[str], fragments: int, p:
             at = np.argsort(key[a:b], kind="stable")
             for c, v in zip(out, (f, block, planes(np.diff(k, prepend=np.uint32(0)).astype(np.uint32)), planes(place[a:b][at]), None, None, None)):
                 out[c].append(v)
-    for c, v in zip(out, (fragments + block % fragments, block, None, None, ids, size.astype("<i4").tobytes(), shared.astype("<i4").tobytes())):
+    for c, v in zip(out, (id_cell(block, fragments), block, None, None, ids, size.astype("<i4").tobytes(), shared.astype("<i4").tobytes())):
         out[c].append(v)
     return pa.RecordBatch.from_pydict(out, schema=BLOB_ARROW)
 
@@ -168,7 +173,7 @@ def answer_fragment(table: pa.Table, fragments: int) -> pa.Table:
         if len(at):
             counts = np.bincount(at)
             which = np.flatnonzero(counts)
-            for c, v in zip(out, (-1, block, None, which.astype(np.uint16).tobytes(), None, None, np.minimum(counts[which], 65535).astype(np.uint16).tobytes())):
+            for c, v in zip(out, (-1, block, None, which.astype(np.uint16).tobytes(), None, None, counts[which].astype("<u4").tobytes())):
                 out[c].append(v)
     return pa.Table.from_pydict(out, schema=BLOB_ARROW)
 
@@ -179,7 +184,7 @@ def judge_block(table: pa.Table, p: NearDupParams) -> pa.Table:
         if row["ids"] is not None:
             ids, size, shared = row["ids"], np.frombuffer(row["sizes"], "<i4"), np.frombuffer(row["shared"], "<i4").astype(np.int64)
         else:
-            more.append((np.frombuffer(row["places"], np.uint16).astype(np.int64), np.frombuffer(row["shared"], np.uint16)))
+            more.append((np.frombuffer(row["places"], np.uint16).astype(np.int64), np.frombuffer(row["shared"], "<u4")))
     for at, n in more:
         np.add.at(shared, at, n)
     keep = (size > 0) & (shared >= p.needed(size))
@@ -245,7 +250,7 @@ def overlaps_in_fragment(table: pa.Table, p: NearDupParams) -> pa.Table:
             continue
         at = order[a:b]
         sizes, places, blocks = n[at], place[at], block[at]
-        across = other[at[0]] >> 15 != other[at[0]] & 0x7FFF
+        across = other[at[0]] >> 32 != other[at[0]] & 0xFFFFFFFF
         # partners of i: larger or equal sets, up to n / threshold
         upto = np.searchsorted(sizes, sizes / p.threshold + 1e-9, side="right")
         for i in range(len(at) - 1):
@@ -295,7 +300,7 @@ def class_pairs(sets: DataFrame, p: NearDupParams) -> DataFrame:
     cells = segments.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     cells = cells.select(
-        (part * F.lit(31) + F.when(blocks > 1, F.xxhash64("gram", low, high)).otherwise(F.lit(0))).alias("part"), "gram", "c1", "c2", "n", "place", "block", (low * F.lit(1 << 15) + high).cast("int").alias("other")
+        (part * F.lit(31) + F.when(blocks > 1, F.xxhash64("gram", low, high)).otherwise(F.lit(0))).alias("part"), "gram", "c1", "c2", "n", "place", "block", F.shiftleft(low.cast("long"), 32).bitwiseOR(high.cast("long")).alias("other")
     )
     partial = cells.groupBy("part").applyInArrow(lambda t: overlaps_in_fragment(t, p), "a1 long, a2 long, b1 long, b2 long, partial int")
     # short sets may have fewer n-grams in common than the extension asks

@@ -1,6 +1,10 @@
 import random
+from collections import Counter
 
-from lodestrata.llm.neardup import NearDupParams, near_duplicate_groups, near_duplicates
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+
+from lodestrata.llm.neardup import NearDupParams, answer_fragment, id_cell, judge_block, pack_block, near_duplicate_groups, near_duplicates
 
 SCHEMA = "id string, text string, a string, grams int, n int"
 P = NearDupParams(words=3, threshold=0.7, min_tokens=20)
@@ -106,5 +110,23 @@ def test_groups_are_components(spark):
     assert got == {x: (find(x), sum(x in p for p in want)) for x in linked}
 
 
+def test_ids_of_blocks_are_spread_over_cells():
+    for fragments in (16, 64, 128, 400, 1024):
+        cells = Counter(id_cell(task << 24 | seq, fragments) for task in range(1000) for seq in range(2))
+        assert len(cells) >= 0.8 * min(fragments, 2000) and max(cells.values()) <= 6 + 2 * 2000 // fragments
+        assert min(cells) >= fragments and max(cells) < 2 * fragments
+
+
+def test_records_with_very_many_shared_ngrams_are_counted_in_full():
+    text = " ".join(f"t{k}" for k in range(90_000))
+    p = NearDupParams(words=3, threshold=0.7, min_tokens=20)
+    blobs = pa.Table.from_batches([pack_block(b, [f"d{b}"], [text + f" x{b}"], 1, p) for b in (0, 1)])
+    cell = lambda t, at: t.filter(pa.compute.equal(t.column("cell"), at))
+    answers = answer_fragment(cell(blobs, 0), 1)
+    both = pa.concat_tables([answers, cell(blobs, 1)])
+    kept = [judge_block(both.filter(pa.compute.equal(both.column("block"), b)), p).column("id").to_pylist() for b in (0, 1)]
+    assert kept == [["d0"], ["d1"]]
+
+
 def test_empty_table(spark):
     assert pairs(spark, []) == set()
