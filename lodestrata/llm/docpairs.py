@@ -206,19 +206,27 @@ MARKS = {"rust": ("///", "/**", "#[doc"), "typescript": ("/**",), "javascript":
 
 
 def documented_functions(code: str | None, language: str | None, node_type: str | None, identifier: str | None, docstring: str | None, p: DocParams) -> list[tuple[str, str, str]]:
-    """(name, description, code) of each documented function of a chunk; its own comment goes before the docstring column."""
+    """(name, description, code) of each documented function of a chunk, in order.
+
+    Its own comment goes before the docstring column, which describes the
+    function of the chunk's name, if the pattern finds that written out. For
+    languages without a pattern the column alone counts.
+    """
     language = (language or "").lower()
-    out: dict[str, tuple[str, str]] = {}
-    marked = bool(code) and any(x in code for x in MARKS.get(language, ()))
-    for name, raw, body in functions_of(code, language) if marked else []:
+    column = description_of(docstring, identifier, p) if node_type in FUNCTION_NODES and identifier else None
+    marked = bool(code) and (column is not None or any(x in code for x in MARKS.get(language, ())))
+    written = functions_of(code, language) if marked else []
+    out = []
+    for name, raw, body in written:
         said = description_of(text_of_comment(raw, language), name, p) if raw.strip() else None
-        if said and name not in out:
-            out[name] = (said, body)
-    if node_type in FUNCTION_NODES and identifier and identifier not in out:
-        said = description_of(docstring, identifier, p)
         if said:
-            out[identifier] = (said, code or "")
-    return [(n, d, b) for n, (d, b) in out.items()]
+            out.append((name, said, body))
+    if column and all(n != identifier for n, _, _ in out):
+        if pattern(language) is None:
+            out.append((identifier, column, code or ""))
+        else:
+            out += [(name, column, body) for name, _, body in written if name == identifier][:1]
+    return out
 
 
 PAIR_SCHEMA = "chunk_id string, function_name string, description string, code string"
@@ -228,8 +236,9 @@ def function_pairs(chunks: DataFrame, params: DocParams | None = None, with_code
     """(chunk_id, function_name, description, code) of the functions with a real description.
 
     Reads chunk_id, language, node_type, identifier, docstring and
-    code_content. Null ids have no rows; null or empty code leaves the
-    docstring column; a chunk that stands twice comes out twice.
+    code_content. Null ids have no rows, nor have null or empty texts of a
+    language with a pattern; functions of one name in a chunk each have a row;
+    a chunk that stands twice comes out twice.
     """
     p = params or DocParams()
     columns = ["chunk_id", "language", "node_type", "identifier", "docstring", "code_content"]

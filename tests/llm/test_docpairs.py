@@ -52,9 +52,17 @@ def test_docstring_column_counts_for_functions_only():
     assert documented("fn a() {}", "rust", "function_item", "a", SAID) == {"a"}
     assert documented("impl A {}", "rust", "impl_item", "A", SAID) == set()
     assert documented(None, None, "function_item", "a", SAID) == {"a"}
+    assert documented(None, "rust", "function_item", "a", SAID) == set()
+    assert documented("fn b() {}", "rust", "function_item", "a", SAID) == set()
+    assert documented_functions("let x = 1; fn a() { y }", "rust", "function_item", "a", SAID, P) == [("a", SAID, "fn a() { y }")]
     assert documented(f"/// {SAID}\nfn a() {{}}", "rust", "function_item", "a", "TODO") == {"a"}
 
 
+def test_functions_of_one_name_each_have_a_row():
+    code = f"impl A {{\n    /// {SAID}\n    fn new() {{ 1 }}\n}}\nimpl B {{\n    /// Makes an empty one of the other kind.\n    fn new() {{ 2 }}\n}}"
+    assert [n for n, _, _ in documented_functions(code, "rust", "impl_item", "A", None, P)] == ["new", "new"]
+
+
 def test_texts_of_several_mb_are_read_to_their_end():
     one = f'    pub fn a() {{ let s = "}}"; s.map(|x| {{ x + 1 }}) }}\n'
     code = one * (16_000_000 // len(one)) + f"/// {SAID}\nfn last() {{}}\n"
