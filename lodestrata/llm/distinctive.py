@@ -20,6 +20,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.llm.common import arrow_map, one_row_per_key, read
 from lodestrata.runtime import cut_lineage
@@ -108,7 +109,7 @@ def distinctive_terms(
 
     kind = dict(docs.dtypes)["id"]
     found = arrow_map(docs, candidates, f"id {kind}, term string, tf long, n long, cf long, df long")
-    rare = found.where("cf is null").drop("cf", "df").join(usable.hint("shuffle_hash"), "term")
+    rare = found.where("cf is null").drop("cf", "df").join(usable, "term")
     scored = rare
     if max_df is None:
         hot = found.where("cf is not null")
@@ -120,12 +121,30 @@ def distinctive_terms(
     return scored.select("id", "term", "tf", "cf", "df", z.alias("z"))
 
 
+def most_distinctive(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` terms of each record with the greatest z, with their rank; equal ones go by the term."""
+    w = Window.partitionBy("id").orderBy(F.desc(F.round("z", 9)), "term")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that mark a chunk: three times in it, in two to eight chunks, whatever their z."""
     terms = distinctive_terms(read(spark, sf_dir, "code_chunks"), "chunk_id", "code_content", min_tf=3, min_df=2, max_df=8, min_length=4)
     return terms.select(F.col("id").alias("chunk_id"), "term")
 
 
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z of every term of four or more characters that stands twice or more in a chunk, in two chunks or more."""
+    terms = distinctive_terms(read(spark, sf_dir, "code_chunks"), "chunk_id", "code_content", min_tf=2, min_df=2, min_length=4)
+    return terms.select(F.col("id").alias("chunk_id"), "term", "tf", "cf", "df", F.round("z", 6).alias("z"))
+
+
+def p2_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five terms that mark each chunk most, by z."""
+    terms = distinctive_terms(read(spark, sf_dir, "code_chunks"), "chunk_id", "code_content", min_df=2, min_length=4)
+    return most_distinctive(terms, 5).select(F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), "term", F.round("z", 6).alias("z"))
+
+
 P2_SQL = r"""
 with c as (select distinct chunk_id, lower(code_content) as t from code_chunks where chunk_id is not null),
 w as (select chunk_id, unnest(regexp_split_to_array(t, '[^\p{L}\p{N}]+')) as term from c),
@@ -133,6 +152,22 @@ n as (select chunk_id, term, count(*) as tf from w where length(term) >= 4 and r
 d as (select term, count(*) as df from n group by term)
 select chunk_id, term from n join d using (term) where tf >= 3 and df between 2 and 8
 """
+#: prior of 1,000 pseudo tokens in the collection's proportions, log-odds of chunk against rest, standard error, z
+Z_SQL = r"""
+with c as (select distinct chunk_id, lower(code_content) as t from code_chunks where chunk_id is not null),
+w as (select chunk_id, term from (select chunk_id, unnest(regexp_split_to_array(t, '[^\p{L}\p{N}]+')) as term from c) where term <> ''),
+l as (select chunk_id, count(*) as n from w group by chunk_id),
+x as (select sum(n) as total from l),
+f as (select chunk_id, term, count(*) as tf from w group by all),
+s as (select term, sum(tf)::bigint as cf, count(*) as df from f group by term),
+o as (select chunk_id, term, tf, cf, df, n, total::double as total, tf + cf * 1000 / total::double as here, cf - tf + cf * 1000 / total::double as rest
+  from f join s using (term) join l using (chunk_id), x where length(term) >= 4 and regexp_matches(term, '^\p{L}') and df >= 2),
+z as (select chunk_id, term, tf, cf, df, (ln(here / (n + 1000 - here)) - ln(rest / (total - n + 1000 - rest))) / sqrt(1 / here + 1 / rest) as z from o)
+"""
 
-QUERIES = {"p2_found": p2_found}
-ORACLES = {"p2_found": P2_SQL}
+QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p2_top": p2_top}
+ORACLES = {
+    "p2_found": P2_SQL,
+    "p2_scores": Z_SQL + "select chunk_id, term, tf, cf, df, round(z, 6) as z from z where tf >= 2",
+    "p2_top": Z_SQL + "select chunk_id, rank, term, round(z, 6) as z from (select *, row_number() over (partition by chunk_id order by round(z, 9) desc, term) as rank from z) where rank <= 5",
+}

@@ -3,7 +3,7 @@ import math
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lodestrata.llm.distinctive import distinctive_terms, p2_found, tokens_of
+from lodestrata.llm.distinctive import distinctive_terms, most_distinctive, p2_found, tokens_of
 
 SCHEMA = "id string, text string, term string, z double"
 
@@ -39,6 +39,15 @@ def test_frequency_alone_chooses_rows(spark, tmp_path):
     assert {tuple(r) for r in p2_found(spark, str(tmp_path)).collect()} == {("long", "alpha"), ("short", "alpha")}
 
 
+def test_z_ranks_terms_where_counts_would_not(spark):
+    rows = [(f"d{k}", "common " * 9 + f"rare{k % 3} " * 4 + "filler " * k) for k in range(9)]
+    scored = distinctive_terms(frame(spark, rows), "id", "text", min_df=2).cache()
+    best = {r.id: r.term for r in most_distinctive(scored, 1).collect()}
+    assert best == {f"d{k}": f"rare{k % 3}" for k in range(9)}
+    by_count = {r.id: r.term for r in most_distinctive(scored.withColumn("z", scored.tf.cast("double")), 1).collect()}
+    assert all(by_count[f"d{k}"] != best[f"d{k}"] for k in range(9))
+
+
 def test_empty_table(spark):
     assert distinctive_terms(frame(spark, []), "id", "text").count() == 0
 
