@@ -2,13 +2,16 @@
 
 Three kinds of evidence decide on a file, in this order:
 
-1. Repository attribute files (``.gitattributes``). Rules of deeper directories
-   go before those above, later lines before earlier ones, per attribute.
+1. Repository attribute files (``.gitattributes``). Rules hold within their own
+   project; those of deeper directories go before those above, later lines
+   before earlier ones, per attribute.
 2. What its chunks show: a header that says who wrote the file, the shape of
    minified code, or of data saved as code. One chunk speaks for the file.
-3. Path patterns for repositories that declare nothing: common conventions,
-   and patterns mined from this collection, that is directories and file name
-   parts under which such headers are far more usual than elsewhere.
+3. Path patterns for repositories that declare nothing, mined from this
+   collection: directories and file name parts under which declared files and
+   such headers are far more usual than elsewhere. Names that are known
+   conventions start with a few pretended files; what the collection's own
+   files show under them outweighs these.
 """
 
 from __future__ import annotations
@@ -17,9 +20,8 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestrata.llm.common import arrow_map, read
 from lodestrata.runtime import cut_lineage
@@ -29,11 +31,27 @@ GENERATED, VENDORED, MINIFIED, DATA = 1, 2, 4, 8
 
 @dataclass(frozen=True)
 class MiningParams:
-    """A pattern is mined from ``least_files`` files on, if the 95 % lower bound of
-    the share that has a header of the kind is at least ``least_share``."""
+    """A pattern is mined from ``least_files`` files on, pretended ones included, if
+
+    - the 95 % lower bound of the share that is of the kind is at least
+      ``least_share``, or
+    - the lower bound at ``sure`` standard errors is at least ``lift`` times the
+      share among all other files, and ``least_sure``.
+
+    Shapes (minified code) need ``least_shape`` instead, since tools write
+    beside people in output folders. prior: of the pretended files of a known
+    convention, how many are of the kind, and how many there are. mine: False
+    leaves only what files show and declare.
+    """
 
     least_files: int = 6
     least_share: float = 0.15
+    sure: float = 4.0
+    lift: float = 2.0
+    least_sure: float = 0.06
+    least_shape: float = 0.8
+    prior: tuple[int, int] = (6, 10)
+    mine: bool = True
 
 
 # --- what a chunk shows ----------------------------------------------------------------------
@@ -183,31 +201,39 @@ def attribute_rules(path: str, content: str) -> list[tuple[str, int, str, int, b
     return rules
 
 
+#: rules of one directory meet the files below it in so many tasks
+RULE_SALTS = 16
+
+
 def declared(files: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(path, kind, on): what attribute files say of each file, by precedence. ``attributes``: (path, content)."""
+    """(project, path, yes, no): kinds that attribute files give each file or deny it, as bit sets, by precedence.
+
+    ``files``: (project, path); ``attributes``: (project, path, content).
+    """
 
     def parse(batch: pa.RecordBatch):
-        rows = [r for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) if p is not None for r in attribute_rules(p, c or "")]
-        names, types = ("folder", "line", "regex", "kind", "on"), (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_())
+        rows = [(project, *r) for project, p, c in zip(*(batch.column(n).to_pylist() for n in ("project", "path", "content"))) if p is not None for r in attribute_rules(p, c or "")]
+        names, types = ("project", "folder", "line", "regex", "kind", "on"), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=list(names))
 
-    rules = arrow_map(attributes.select("path", "content"), parse, "folder string, line int, regex string, kind int, on boolean").distinct()
+    rules = arrow_map(attributes.select("project", "path", "content"), parse, "project string, folder string, line int, regex string, kind int, on boolean").distinct()
+    rules = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
     parts = F.split("path", "/")
     depth = F.size(parts)
-    above = files.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), depth - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("depth", "folder"))
+    above = files.select("project", "path", F.pmod(F.hash("path"), F.lit(RULE_SALTS)).alias("salt"), F.posexplode(F.transform(F.sequence(F.lit(0), depth - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("depth", "folder"))
     within = F.when(F.col("folder") == "", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
-    hit = above.join(rules, "folder").withColumn("within", within).where(F.expr("within rlike regex"))
-    w = Window.partitionBy("path", "kind").orderBy(F.desc("depth"), F.desc("line"))
-    return hit.withColumn("n", F.row_number().over(w)).where("n = 1").select("path", "kind", "on")
+    hit = above.join(rules, ["project", "folder", "salt"]).withColumn("within", within).where(F.expr("within rlike regex"))
+    last = hit.groupBy("project", "path", "kind").agg(F.max_by("on", F.struct("depth", "line")).alias("on"))
+    said = lambda on: F.bit_or(F.when(F.col("on") == on, F.col("kind")).otherwise(0))
+    return last.groupBy("project", "path").agg(said(True).alias("yes"), said(False).alias("no"))
 
 
 # --- path patterns -----------------------------------------------------------------------------
 
-#: fixed values: common conventions; "dir/" for a directory anywhere below the root, else the tail of a name before its last extension
+#: fixed values: known conventions; "dir/" for a directory anywhere below the root, else the tail of a name before its last extension
 CONVENTIONS = {
     VENDORED: ["vendor/", "node_modules/", "bower_components/", "third_party/", "third-party/", "thirdparty/", "Godeps/", "external/", "externals/", "extern/deps/", "contrib/upstream/", "jspm_packages/", "Pods/"],
     GENERATED: ["generated/", "gen/", "autogen/", "__generated__/", "bindings/", "target/out/", ".pb", "_pb2", "_pb2_grpc", ".g", ".gen", "_generated", "_autogen", ".generated", ".designer"],
-    MINIFIED: [".min", "-min", ".bundle", ".prod"],
 }
 NAME_TAIL = r"(?:[._-][A-Za-z0-9]+)$"
 
@@ -222,66 +248,80 @@ def patterns_of(path):
     parts = F.split(path, "/")
     inner = F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 2))
     one = F.transform(inner, lambda x: F.concat(x, F.lit("/")))
-    two = F.transform(F.arrays_zip(inner.alias("a"), F.slice(inner, 2, 100).alias("b")), lambda x: F.concat(x["a"], F.lit("/"), x["b"], F.lit("/")))
+    two = F.transform(F.arrays_zip(inner.alias("a"), F.slice(inner, 2, F.greatest(F.lit(0), F.size(inner) - 1)).alias("b")), lambda x: F.concat(x["a"], F.lit("/"), x["b"], F.lit("/")))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
     tail = F.regexp_extract(stem, NAME_TAIL, 0)
     return F.filter(F.array_distinct(F.concat(one, two, F.array(tail))), lambda x: x.isNotNull() & (x != ""))
 
 
 def mined_patterns(files: DataFrame, p: MiningParams) -> DataFrame:
-    """(pattern, kind): patterns under which files of ``files(path, evidence)`` often have a header of the kind."""
-    each = files.select(F.explode(patterns_of(F.col("path"))).alias("pattern"), (F.col("evidence").bitwiseAND(GENERATED) > 0).cast("long").alias("g"), (F.col("evidence").bitwiseAND(VENDORED) > 0).cast("long").alias("v"))
-    n = F.col("n")
-    counts = each.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("g").alias("g"), F.sum("v").alias("v")).where((n >= p.least_files) & (F.col("g") + F.col("v") > 1))
-
-    def lower(hits):  # Wilson's bound at 1.96 standard errors
-        share, z2 = hits / n, 1.96**2
-        return (share + z2 / (2 * n) - 1.96 * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-
-    kinds = F.array(*[F.when(lower(F.col(c)) >= p.least_share, F.lit(k)) for c, k in (("g", GENERATED), ("v", VENDORED))])
-    return counts.select("pattern", F.explode(kinds).alias("kind")).where("kind is not null")
-
-
-def not_handwritten(chunks: DataFrame, path_col: str, text_col: str, attributes: DataFrame | None = None, params: MiningParams | None = None) -> DataFrame:
+    """(pattern, kind): patterns under which files of ``files(path, evidence)`` are often of the kind; see :class:`MiningParams`."""
+    kinds = (GENERATED, VENDORED, MINIFIED)
+    of = {k: (F.col("evidence").bitwiseAND(k) > 0).cast("long") for k in kinds}
+    total = files.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(of[k]), F.lit(0)).alias(f"k{k}") for k in kinds]).first()
+    each = files.select(F.explode(patterns_of(F.col("path"))).alias("pattern"), *[of[k].alias(f"k{k}") for k in kinds])
+    counts = each.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(f"k{k}").alias(f"k{k}") for k in kinds])
+
+    def lower(hits: Column, n: Column, z: float) -> Column:  # Wilson's bound
+        share, z2 = hits / n, z * z
+        return (share + z2 / (2 * n) - z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+    def mined(k: int) -> Column:
+        known = F.col("pattern").isin(CONVENTIONS[k]) if k in CONVENTIONS else F.lit(False)
+        hits, n = F.col(f"k{k}") + F.when(known, p.prior[0]).otherwise(0), F.col("n") + F.when(known, p.prior[1]).otherwise(0)
+        enough = (n >= p.least_files) & (hits > 1)
+        if k == MINIFIED:
+            return enough & (lower(hits, n, 1.96) >= p.least_shape)
+        elsewhere = (F.lit(total[f"k{k}"]) - F.col(f"k{k}")) / F.greatest(F.lit(1), F.lit(total["n"]) - F.col("n"))
+        return enough & ((lower(hits, n, 1.96) >= p.least_share) | (lower(hits, n, p.sure) >= F.greatest(F.lit(p.least_sure), p.lift * elsewhere)))
+
+    found = F.array(*[F.when(mined(k), F.lit(k)) for k in kinds])
+    return counts.select("pattern", F.explode(found).alias("kind")).where("kind is not null")
+
+
+def not_handwritten(chunks: DataFrame, path_col: str, text_col: str, attributes: DataFrame | None = None, params: MiningParams | None = None, project_col: str | None = None) -> DataFrame:
     """(file_path, kinds): files, as spelled, that nobody wrote by hand here; kinds is a bit set.
 
-    ``attributes``: (path, content) of attribute files, if there are any. A
-    null or empty path takes no part; a null or empty text shows nothing;
+    ``attributes``: (path, content) of attribute files, if there are any, with
+    (project, path, content) where ``project_col`` names the chunks' project;
+    a rule holds for files of its own project only. A null or empty path takes
+    no part; a null or empty text shows nothing; a null project is one project;
     repeated rows change nothing.
     """
-    src = chunks.where(F.length(F.col(path_col)) > 0).select(F.col(path_col).alias("file_path"), F.col(text_col).alias("text"))
+    p = params or MiningParams()
+    project = F.coalesce(F.col(f"`{project_col}`").cast("string"), F.lit("")) if project_col else F.lit("")
+    src = chunks.where(F.length(F.col(path_col)) > 0).select(F.col(path_col).alias("file_path"), project.alias("project"), F.col(text_col).alias("text"))
 
     def show(batch: pa.RecordBatch):
         found = pa.array([evidence_of(t) for t in batch.column("text").to_pylist()], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("file_path"), found], names=["file_path", "evidence"])
+        yield pa.RecordBatch.from_arrays([batch.column("file_path"), batch.column("project"), found], names=["file_path", "project", "evidence"])
 
-    shown = arrow_map(src, show, "file_path string, evidence int")
+    shown = arrow_map(src, show, "file_path string, project string, evidence int")
     # one row for each file; what follows reads it several times
-    spelled = cut_lineage(shown.groupBy("file_path").agg(F.bit_or("evidence").alias("evidence")).withColumn("path", normal_path(F.col("file_path"))))
-    files = spelled.groupBy("path").agg(F.bit_or("evidence").alias("evidence"))
-    mined = mined_patterns(files, params or MiningParams())
-    has = files.select("path", "evidence", patterns_of(F.col("path")).alias("patterns"))
-    by_convention = F.lit(0)
-    for kind, usual in CONVENTIONS.items():
-        by_convention = by_convention.bitwiseOR(F.when(F.arrays_overlap("patterns", F.array(*map(F.lit, usual))), kind).otherwise(0))
-    by_mining = has.select("path", F.explode("patterns").alias("pattern")).join(mined, "pattern").groupBy("path").agg(F.bit_or("kind").alias("mined"))
-    judged = has.select("path", "evidence", by_convention.alias("usual")).join(by_mining, "path", "left")
-    kinds = F.col("evidence").bitwiseOR(F.col("usual")).bitwiseOR(F.coalesce("mined", F.lit(0)))
+    spelled = cut_lineage(shown.groupBy("project", "file_path").agg(F.bit_or("evidence").alias("evidence")).withColumn("path", normal_path(F.col("file_path"))))
+    files = spelled.groupBy("project", "path").agg(F.bit_or("evidence").alias("evidence"))
     if attributes is not None:
-        said = declared(files, attributes.select(normal_path(F.col("path")).alias("path"), "content"))
-        said = said.groupBy("path").agg(F.bit_or(F.when(F.col("on"), F.col("kind")).otherwise(0)).alias("yes"), F.bit_or(F.when(~F.col("on"), F.col("kind")).otherwise(0)).alias("no"))
-        judged = judged.join(said, "path", "left")
-        no = F.coalesce("no", F.lit(0))
-        kinds = kinds.bitwiseAND(F.bitwise_not(no)).bitwiseOR(F.coalesce("yes", F.lit(0)))
-    flagged = judged.select("path", kinds.alias("kinds")).where("kinds <> 0")
-    return spelled.select("file_path", "path").join(flagged, "path").select("file_path", "kinds")
+        own = F.coalesce(F.col("project"), F.lit("")) if "project" in attributes.columns else F.lit("")
+        said = declared(files, attributes.select(own.alias("project"), normal_path(F.col("path")).alias("path"), "content"))
+        files = files.join(said, ["project", "path"], "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("yes", "no")})
+        files = files.select("project", "path", F.col("evidence").bitwiseAND(F.bitwise_not("no")).bitwiseOR(F.col("yes")).alias("evidence"), "no")
+    else:
+        files = files.withColumn("no", F.lit(0))
+    judged = files.withColumn("kinds", F.col("evidence"))
+    if p.mine:
+        mined = mined_patterns(files, p)
+        has = files.select("project", "path", F.explode(patterns_of(F.col("path"))).alias("pattern"))
+        by_mining = has.join(mined, "pattern").groupBy("project", "path").agg(F.bit_or("kind").alias("mined"))
+        judged = files.join(by_mining, ["project", "path"], "left").withColumn("kinds", F.col("evidence").bitwiseOR(F.coalesce("mined", F.lit(0)).bitwiseAND(F.bitwise_not("no"))))
+    flagged = judged.where("kinds <> 0").select("project", "path", "kinds")
+    return spelled.select("file_path", "project", "path").join(flagged, ["project", "path"]).groupBy("file_path").agg(F.bit_or("kinds").alias("kinds"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of code_chunks that nobody wrote by hand in their project."""
     chunks = read(spark, sf_dir, "code_chunks")
-    attributes = chunks.where(F.col("file_path").rlike(r"(?:^|[/\\])\.gitattributes$")).select(F.col("file_path").alias("path"), F.col("code_content").alias("content"))
-    return not_handwritten(chunks, "file_path", "code_content", attributes).select("file_path")
+    attributes = chunks.where(F.col("file_path").rlike(r"(?:^|[/\\])\.gitattributes$")).select(F.col("project_name").alias("project"), F.col("file_path").alias("path"), F.col("code_content").alias("content"))
+    return not_handwritten(chunks, "file_path", "code_content", attributes, project_col="project_name").select("file_path")
 
 
 QUERIES = {"p4_found": p4_found}

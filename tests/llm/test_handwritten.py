@@ -1,13 +1,13 @@
-from lodestrata.llm.handwritten import DATA, GENERATED, MINIFIED, VENDORED, attribute_rules, evidence_of, glob_to_regex, not_handwritten
+from lodestrata.llm.handwritten import DATA, GENERATED, MINIFIED, VENDORED, MiningParams, attribute_rules, evidence_of, glob_to_regex, not_handwritten
 import re
 
 SCHEMA = "file_path string, text string, kind int, path string, evidence int"
 
 
-def flagged(spark, rows, attributes=None):
+def flagged(spark, rows, attributes=None, params=None):
     chunks = spark.createDataFrame([(p, t, 1, "x", 0) for p, t in rows], SCHEMA)
     att = spark.createDataFrame(attributes, "path string, content string") if attributes else None
-    return {r.file_path: r.kinds for r in not_handwritten(chunks, "file_path", "text", att).collect()}
+    return {r.file_path: r.kinds for r in not_handwritten(chunks, "file_path", "text", att, params).collect()}
 
 
 def test_headers():
@@ -60,7 +60,39 @@ def test_spelling_one_chunk_speaks_for_the_file_and_bad_rows(spark):
     assert flagged(spark, []) == {}
 
 
+HEAD = "// Code generated by t from x.tpl. DO NOT EDIT.\n"
+COPY = "// Vendored copy of libfoo 1.2, taken over from upstream.\n"
+
+
 def test_patterns_are_mined(spark):
-    head = "// Machine-made by t; edit x.tpl and rerun\n"
-    rows = [(f"r{i}/odd_out/m{i}.rs", head if i % 2 else "fn a() {}") for i in range(20)] + [(f"r{i}/src/m{i}.rs", "fn a() {}") for i in range(60)]
-    assert set(flagged(spark, rows)) == {p for p, _ in rows if "odd_out" in p}
+    rows = [(f"r{i}/odd_out/m{i}.rs", HEAD if i % 2 else "fn a() {}") for i in range(20)] + [(f"r{i}/src/m{i}.rs", "fn a() {}") for i in range(60)]
+    odd = {p for p, _ in rows if "odd_out" in p}
+    assert set(flagged(spark, rows)) == odd
+    assert set(flagged(spark, rows, params=MiningParams(mine=False))) == {p for p, t in rows if t == HEAD}
+
+
+def test_evidence_outweighs_conventions(spark):
+    by_hand = [(f"r{i}/external/m{i}.rs", "fn a() {}") for i in range(40)]
+    copied = [(f"r{i}/vendor/m{i}.rs", COPY if i % 6 == 0 else "fn a() {}") for i in range(400)] + [(f"r{i}/src/m{i}.rs", "fn a() {}") for i in range(900)]
+    assert set(flagged(spark, by_hand[:5] + copied[-20:])) == {p for p, _ in by_hand[:5]}
+    assert set(flagged(spark, by_hand + copied)) == {p for p, _ in copied if "/vendor/" in p}
+
+
+def test_declared_files_teach_patterns_to_other_projects(spark):
+    rows = [(f"p{i % 4}/lib/emitted/m{i}.rs", "fn a() {}") for i in range(24)] + [(f"p{i % 4}/src/m{i}.rs", "fn a() {}") for i in range(60)]
+    said = [(f"p{k}/.gitattributes", "lib/emitted/** linguist-generated") for k in (0, 1)]
+    assert set(flagged(spark, rows)) == set()
+    assert set(flagged(spark, rows, said)) == {p for p, _ in rows if "emitted" in p}
+    assert set(flagged(spark, rows, said, MiningParams(mine=False))) == {p for p, _ in rows if "emitted" in p and p[:2] in ("p0", "p1")}
+
+
+def test_rules_hold_in_their_own_project_only(spark):
+    chunks = spark.createDataFrame([("src/a.rs", "fn a() {}", "x"), ("src/b.rs", "fn b() {}", "y"), ("src/c.rs", "fn c() {}", None)], "file_path string, text string, project_name string")
+    att = spark.createDataFrame([("x", ".gitattributes", "src/** linguist-generated")], "project string, path string, content string")
+    assert {r.file_path for r in not_handwritten(chunks, "file_path", "text", att, project_col="project_name").collect()} == {"src/a.rs"}
+
+
+def test_deep_paths_keep_all_their_directories(spark):
+    deep = "/".join(f"d{k}" for k in range(150))
+    rows = [(f"r/{deep}/odd_a/odd_b/m{i}.rs", HEAD if i < 6 else "fn a() {}") for i in range(12)] + [(f"r/src/m{i}.rs", "fn a() {}") for i in range(60)]
+    assert len(flagged(spark, rows)) == 12
