@@ -10,7 +10,8 @@ row is indexed. Lists that lie close together share a work unit, so a query
 travels once to a unit and not once to each list. A list that holds more rows
 than a unit may is spread over a grid of units, block by block, so neither its
 members nor its queries meet in one task. Exact copies of a vector are one
-class: map tasks send a class once per batch, and ids come back at the end.
+class: map tasks send a class once per batch, and ids come back at the end;
+the ids of a class that holds a large share of all rows are salted.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.llm.common import mix64, read
-from lodestrata.runtime import ship_package
+from lodestrata.runtime import ship_package, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,11 @@ class SimilarityParams:
     the quantisation error of each member then bounds which may be skipped, so
     the codes lose nothing. nprobe: lists a query scans, or, as a float, their share of all. refine: without
     min_similarity, refine * k members a list are reranked.
-    train_rows: bound of the sample that centroids and codebooks are fitted on.
-    unit_rows: members a work unit may hold. expand: None gives every copy its
-    own k neighbours, however many copies there are. Where given, of a class of
-    n copies with n * n beyond it only the first id is searched and found; each
-    other copy has one link with the first.
+    train_rows: bound of the sample that centroids and codebooks are fitted on;
+    least_train of it are always taken, beyond that four for each list.
+    max_lists: bound of the lists, reached at about a thousand million rows.
+    unit_rows: members a work unit may hold. hot_share: share of all rows from
+    which on the ids of a class of copies are salted.
     """
 
     dim: int = 64
@@ -49,12 +50,13 @@ class SimilarityParams:
     nprobe: int | float = 4
     refine: int = 5
     subvectors: int = 16
-    train_rows: int = 16384
+    train_rows: int = 262_144
+    least_train: int = 16384
     unit_rows: int = 16384
-    expand: int | None = None
+    hot_share: float = 1 / 64
     iterations: int = 8
     seed: int = 7
-    max_lists: int = 4096
+    max_lists: int = 65_536
 
     def probes(self, lists: int) -> int:
         wanted = self.nprobe if isinstance(self.nprobe, int) else int(np.ceil(self.nprobe * lists))
@@ -70,11 +72,32 @@ class FieldModel:
     blocks: np.ndarray | None = None
 
 
+def rows_at_a_time(lists: int) -> int:
+    """Rows whose similarities with all lists fit in 64 MB."""
+    return int(np.clip((1 << 24) // max(1, lists), 64, 4096))
+
+
+def nearest(x: np.ndarray, c: np.ndarray, spherical: bool = True) -> np.ndarray:
+    shift = 0 if spherical else 0.5 * (c * c).sum(1)
+    step = rows_at_a_time(len(c))
+    parts = [np.argmax(x[at : at + step] @ c.T - shift, axis=1) for at in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def coarse(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator, flat: int = 4096) -> np.ndarray:
+    """``k`` centroids on the unit sphere; beyond ``flat`` in two levels, so the work grows with k ** 1.5."""
+    if k <= flat:
+        return kmeans(x, k, iterations, rng, spherical=True)
+    top = kmeans(x, int(np.sqrt(k)), iterations, rng, spherical=True)
+    group = nearest(x, top)
+    return np.concatenate([kmeans(x[group == g], max(1, round(k * (group == g).mean())), iterations, rng, spherical=True) for g in np.unique(group)])
+
+
 def kmeans(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(iterations):
-        near = np.argmax(x @ c.T - (0 if spherical else 0.5 * (c * c).sum(1)), axis=1)
+        near = nearest(x, c, spherical)
         order = np.argsort(near, kind="stable")
         starts = np.searchsorted(near[order], np.arange(k))
         size = np.bincount(near, minlength=k)
@@ -125,8 +148,8 @@ def encode(r: np.ndarray, codebooks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit(x: np.ndarray, lists: int, p: SimilarityParams) -> FieldModel:
     rng = np.random.default_rng(p.seed)
     x = normalised(x) if len(x) else np.eye(1, p.dim, dtype=np.float32)
-    c = kmeans(x, lists, p.iterations, rng, spherical=True)
-    r = x - c[np.argmax(x @ c.T, axis=1)]
+    c = coarse(x, lists, p.iterations, rng)
+    r = x - c[nearest(x, c)]
     d = p.dim // p.subvectors
     books = np.zeros((p.subvectors, 256, d), np.float32)
     for j in range(p.subvectors):
@@ -337,26 +360,42 @@ class VectorIndex:
 
     def _fit(self) -> None:
         p, n = self.p, self.df.count()
-        share = min(1.0, p.train_rows / max(n, 1))
         lists = int(np.clip(2 * np.sqrt(n), 1, min(p.max_lists, max(1, p.train_rows // 4))))
-        picked = self.df.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).limit(p.train_rows).toArrow()
+        wanted = min(p.train_rows, max(p.least_train, 4 * lists))
+        share = min(1.0, wanted / max(n, 1))
+        named = self.df.withColumn("h", F.xxhash64("id"))
+        # by hash and value, so the sample doesn't depend on how rows are split over files
+        picked = named.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20) + 1)).orderBy("h", "id", *[f"v{i}" for i in range(len(self.fields))]).limit(wanted).toArrow()
         self.models = [fit(unit_vectors(picked.column(f"v{i}"), p.dim)[1], lists, p) for i in range(len(self.fields))]
         models = self.models
 
         def count(batches):
-            totals = [np.zeros(len(m.centroids), np.int64) for m in models]
+            # classes of copies count once for each batch; those that are a large part of a batch are remembered
+            totals, often, seen = [np.zeros(len(m.centroids), np.int64) for m in models], {}, 0
             for batch in batches:
+                seen += len(batch)
                 for i, m in enumerate(models):
-                    _, x = unit_vectors(batch.column(f"v{i}"), p.dim)
-                    if len(x):
-                        totals[i] += np.bincount(np.argmax(normalised(x) @ m.centroids.T, axis=1), minlength=len(m.centroids))
-            for i, t in enumerate(totals):
-                yield pa.RecordBatch.from_pydict({"f": pa.array([i], pa.int32()), "sizes": pa.array([t.astype("<i8").tobytes()], pa.binary())})
-
-        sizes = [np.zeros(len(m.centroids), np.int64) for m in models]
-        for f, raw in self.df.select(*[f"v{i}" for i in range(len(self.fields))]).mapInArrow(count, "f int, sizes binary").toLocalIterator():
-            sizes[f] += np.frombuffer(raw, "<i8")
-        self.list_sizes = sizes
+                    rows, x = unit_vectors(batch.column(f"v{i}"), p.dim)
+                    if not len(x):
+                        continue
+                    h, first, times = np.unique(batch.column(f"h{i}_0").to_numpy()[rows], return_index=True, return_counts=True)
+                    totals[i] += np.bincount(nearest(normalised(x[first]), m.centroids), minlength=len(m.centroids))
+                    for k in np.flatnonzero(times >= max(2, len(batch) * p.hot_share / 16)):
+                        often[i, int(h[k])] = often.get((i, int(h[k])), 0) + int(times[k])
+            rows = [(i, t.astype("<i8").tobytes(), None, None) for i, t in enumerate(totals)] + [(i, None, h, c) for (i, h), c in often.items() if c >= seen * p.hot_share / 4]
+            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["f", "sizes", "h", "times"])
+
+        sizes, copies = [np.zeros(len(m.centroids), np.int64) for m in models], {}
+        hashed = self.df.select(*[f"v{i}" for i in range(len(self.fields))], *[self._hashes(i)[0].alias(f"h{i}_0") for i in range(len(self.fields))])
+        for f, raw, h, times in hashed.mapInArrow(count, "f int, sizes binary, h long, times long").toLocalIterator():
+            if raw is not None:
+                sizes[f] += np.frombuffer(raw, "<i8")
+            else:
+                copies[f, h] = copies.get((f, h), 0) + times
+        self.rows, self.list_sizes = n, sizes
+        #: (field, hash) of classes that hold a large share of all rows; by the counts above fewer than 4 / hot_share a field
+        self.hot = sorted(k for k, c in copies.items() if c >= max(n * p.hot_share / 2, 2 * p.k))
         self.starts = lay_out(models, sizes, p.unit_rows)
 
     def _hashes(self, i: int):
@@ -375,18 +414,31 @@ class VectorIndex:
                 asking = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
                 for i, m in enumerate(models):
                     rows, x = unit_vectors(batch.column(f"v{i}"), p.dim)
-                    for at in range(0, len(rows), 4096):
-                        r = rows[at : at + 4096]
+                    step = rows_at_a_time(len(m.centroids))
+                    for at in range(0, len(rows), step):
+                        r = rows[at : at + step]
                         h1 = batch.column(f"h{i}_0").to_numpy()[r]
                         h2 = batch.column(f"h{i}_1").to_numpy()[r]
-                        yield from route(x[at : at + 4096], h1, h2, asking[r], m, p)
+                        yield from route(x[at : at + step], h1, h2, asking[r], m, p)
 
         pairs = src.mapInArrow(index, UNIT_SCHEMA).groupBy("unit").applyInArrow(lambda t: scan_unit(t, starts, models, p), PAIR_SCHEMA)
         number = sum((F.when(F.col("unit") >= at, 1).otherwise(0) for at in starts[1:-1]), F.lit(0))
         return pairs.select(number.cast("int").alias("f"), "a1", "a2", "b1", "b2", "similarity")
 
+    def _is_hot(self, f: Column, h1: Column) -> Column:
+        each = [F.when(f == i, h1.isin([h for g, h in self.hot if g == i])) for i in sorted({g for g, _ in self.hot})]
+        return F.coalesce(*each, F.lit(False)) if each else F.lit(False)
+
+    @property
+    def salts(self) -> int:
+        return max(8, shuffle_partitions(self.df.sparkSession))
+
+    @property
+    def class_key(self) -> list[str]:
+        return ["f", "h1", "h2", "salt"] if self.hot else ["f", "h1", "h2"]
+
     def members(self) -> DataFrame:
-        """(f, h1, h2, id): the ids of each class."""
+        """(f, h1, h2, salt, id): the ids of each class; without hot classes there is no salt."""
         v = [F.col(f"v{i}") for i in range(len(self.fields))]
         top, low = [F.array_max(x) for x in v], [F.array_min(x) for x in v]
         valid = [(F.size(F.array_compact(x)) == self.p.dim) & (F.size(x) == self.p.dim) & ~F.isnan(a) & (F.abs(a) < float("inf")) & (F.abs(b) < float("inf")) & ((a != 0) | (b != 0)) for x, a, b in zip(v, top, low)]
@@ -394,17 +446,11 @@ class VectorIndex:
         out = rows[0]
         for r in rows[1:]:
             out = out.unionByName(r)
-        # one exchange by class serves the removal of copies, the sizes and the joins
-        return out.repartition("f", "h1", "h2").distinct()
-
-    def _represented(self, member: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members without the copies that ``expand`` leaves to their first id, and their links (f, id, neighbour)."""
-        size = member.groupBy("f", "h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        wide = member.join(size, ["f", "h1", "h2"])
-        left = (F.col("n") * F.col("n") > self.p.expand) & (F.col("id") != F.col("first"))
-        both = F.array(F.struct("id", F.col("first").alias("neighbour")), F.struct(F.col("first").alias("id"), F.col("id").alias("neighbour")))
-        star = wide.where(left).select("f", F.explode(both).alias("s")).select("f", "s.id", "s.neighbour")
-        return wide.where(~left).select("f", "h1", "h2", "id"), star
+        if self.hot:
+            out = out.withColumn("salt", F.when(self._is_hot(F.col("f"), F.col("h1")), F.pmod(F.xxhash64("id"), F.lit(self.salts))).otherwise(0))
+        # one exchange by class serves the removal of copies, the sizes and the joins; its tasks stay small
+        parts = max(shuffle_partitions(self.df.sparkSession), -(-self.rows * len(self.fields) // 250_000))
+        return out.repartition(parts, *self.class_key).distinct()
 
     def neighbours(self, queries=None, symmetric: bool | None = None) -> DataFrame:
         """(field, id, neighbour, similarity, rank), the k most similar of each queried class.
@@ -423,23 +469,23 @@ class VectorIndex:
         found = found.groupBy("f", "a1", "a2", "b1", "b2").agg(F.max("similarity").alias("similarity"))
         w = Window.partitionBy("f", "a1", "a2").orderBy(F.desc("similarity"), "b1", "b2")
         top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.k)
-        member, star = self.members(), None
-        if p.expand is not None:
-            member, star = self._represented(member)
+        member = self.members()
         # no id needs more of a class than its k smallest ids besides itself, nor more than k others of all classes
-        key, by_id = ["f", "h1", "h2"], Window.partitionBy("f", "h1", "h2").orderBy("id")
-        few = member.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= p.k + 1).groupBy(*key).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        key, by_id = ["f", "h1", "h2"], Window.partitionBy(*self.class_key).orderBy("id")
+        few = member.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= p.k + 1).groupBy(*self.class_key).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        if self.hot:
+            few = few.groupBy(*key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, p.k + 1).alias("ids"))
         near = top.join(few.select("f", F.col("h1").alias("b1"), F.col("h2").alias("b2"), "ids"), ["f", "b1", "b2"]).select("f", F.col("a1").alias("h1"), F.col("a2").alias("h2"), "similarity", F.slice("ids", 1, p.k).alias("ids"))
         own = few.where(F.size("ids") > 1).select(*key, F.lit(1.0).alias("similarity"), "ids")
         entries = F.transform("ids", lambda i: F.struct((-F.col("similarity")).alias("far"), i.alias("neighbour")))
         best = near.unionByName(own).groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list(entries))), 1, p.k + 1).alias("best"))
+        if self.hot:
+            every_salt = F.sequence(F.lit(0).cast("long"), F.lit(self.salts - 1).cast("long"))
+            best = best.withColumn("salt", F.explode(F.when(self._is_hot(F.col("f"), F.col("h1")), every_salt).otherwise(F.array(F.lit(0).cast("long")))))
         asking = member if queries is None else member.where(queries)
         others = F.slice(F.filter("best", lambda x: x["neighbour"] != F.col("id")), 1, p.k)
-        every = asking.join(best, key).select("f", "id", F.posexplode(others).alias("at", "x"))
+        every = asking.join(best, self.class_key).select("f", "id", F.posexplode(others).alias("at", "x"))
         every = every.select("f", "id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.far")).alias("similarity"), (F.col("at") + 1).alias("rank"))
-        if star is not None:
-            # membership of large classes: each copy has this one link, so it isn't cut to k
-            every = every.unionByName((star if queries is None else star.where(queries)).withColumns({"similarity": F.lit(1.0), "rank": F.lit(1)}))
         names = F.element_at(F.array(*[F.lit(f) for f in self.fields]), F.col("f") + 1)
         return every.select(names.alias("field"), "id", "neighbour", "similarity", "rank")
 

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestrata.llm.similar import SimilarityParams, fit, lay_out, route, scan_unit, similar_vectors
+from lodestrata.llm.similar import SimilarityParams, VectorIndex, coarse, fit, lay_out, nearest, normalised, route, scan_unit, similar_vectors
 
 SCHEMA = "id string, v array<float>, `rank` int, field string"
 
@@ -65,15 +65,6 @@ def test_invalid_vectors_copies_and_repeated_rows(spark):
     assert all(abs(r.similarity - 1) < 1e-9 for r in found)
 
 
-def test_many_copies_form_a_star(spark):
-    v = [1.0] + [0.0] * 63
-    rows = [(f"k{i:03d}", v) for i in range(100)]
-    found = similar_vectors(frame(spark, rows), "id", ["v"], SimilarityParams(min_similarity=0.9, expand=64)).collect()
-    linked = {r.id for r in found} | {r.neighbour for r in found}
-    assert linked == {i for i, _ in rows}
-    assert len(found) == 2 * 99
-
-
 def test_copies_have_the_same_neighbours_at_every_class_size(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=64)
@@ -107,5 +98,37 @@ def test_a_copy_that_asks_goes_before_a_mute_one_of_another_batch():
     assert set(found["a1"]) == {0, *range(1, len(x), 2)}
 
 
+def test_a_class_with_a_third_of_all_rows_is_salted_and_loses_nothing(spark):
+    rng = np.random.default_rng(8)
+    hot, near = rng.normal(size=64), rng.normal(size=(60, 64))
+    close = hot + 0.1 * rng.normal(size=64)
+    rows = [(f"h{j:03d}", hot.astype(np.float32).tolist()) for j in range(50)] + [(f"n{j:03d}", v.astype(np.float32).tolist()) for j, v in enumerate(near)] + [("x", close.astype(np.float32).tolist())]
+    p = SimilarityParams(min_similarity=0.9, nprobe=1.0)
+    index = VectorIndex(frame(spark, rows), "id", ["v"], p)
+    assert len(index.hot) == 1 and index.class_key[-1] == "salt"
+    got = {(r.id, r.neighbour, r.rank) for r in index.neighbours().collect()}
+    copies = [f"h{j:03d}" for j in range(50)]
+    want = {(i, j, r) for i in copies for r, j in enumerate([c for c in copies if c != i][:10], 1)} | {("x", j, r) for r, j in enumerate(copies[:10], 1)}
+    assert got == want
+    assert sum(m.sum() for m in index.list_sizes) <= 62 + 4 * 2  # copies don't make a list large
+
+
+def test_samples_and_lists_do_not_depend_on_file_splits(spark):
+    ids, x = data()
+    df = frame(spark, zip(ids, x.tolist()))
+    p = SimilarityParams(least_train=100, train_rows=100)
+    one, many = (VectorIndex(d, "id", ["v"], p).models[0].centroids for d in (df.coalesce(1), df.repartition(5, "rank", "id")))
+    assert np.array_equal(one, many)
+
+
+def test_two_levels_of_centroids_cover_the_sphere():
+    rng = np.random.default_rng(2)
+    x = normalised(rng.normal(size=(4000, 64)).astype(np.float32))
+    flat, deep = coarse(x, 200, 5, np.random.default_rng(1)), coarse(x, 200, 5, np.random.default_rng(1), flat=50)
+    assert 180 <= len(deep) <= 220
+    fits = [float((x * c[nearest(x, c)]).sum(1).mean()) for c in (flat, deep)]
+    assert fits[1] > 0.93 * fits[0]
+
+
 def test_empty_table(spark):
     assert similar_vectors(frame(spark, []), "id", ["v"], SimilarityParams(min_similarity=0.9)).count() == 0
