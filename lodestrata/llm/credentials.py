@@ -2,10 +2,11 @@
 
 Context rules propose the exact span of a value: private key blocks, passwords
 in connection strings and URLs, authorization headers, command-line flags,
-assignments to telling names, login calls, remarks. A value then has to look
-like one: neither a reference nor a placeholder, and, where its context alone
-doesn't settle it, unnatural, that is with few characters for each subword of a
-public tokenizer's vocabulary. Redaction keeps every offset and line break.
+assignments to telling names, arguments of calls, remarks. A value that is
+neither a reference nor a placeholder is then judged by how natural it is, that
+is by its characters for each subword of a public tokenizer's vocabulary: words
+of a language or of code take few subwords, keys and passwords many. Redaction
+keeps every offset and line break.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ from lodestrata.llm.tokens import BYTE_BPE, TOKENIZER_DIR, tokenizer, vocabulary
 
 @dataclass(frozen=True)
 class CredentialParams:
-    """natural: characters per subword from which on a doubtful value counts as ordinary words.
-    least: characters of the shortest doubtful value."""
+    """natural: characters per subword from which on a value counts as ordinary words.
+    plain: the same for values of letters and joints only, as names and words are.
+    bare: the same for the argument of a call that no other sign marks.
+    least: characters of the shortest value whose context is in doubt."""
 
     natural: float = 3.3
+    plain: float = 1.8
+    bare: float = 2.4
     least: int = 8
     vocabulary: str = BYTE_BPE
     folder: str = TOKENIZER_DIR
@@ -36,8 +41,9 @@ PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----
 URL = re.compile(r"\b[a-zA-Z][\w+.-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s@\"'`<>/]+)@[\w.\[-]")
 PAIRED = re.compile(r"(?i)(?:^|[;\"'`&?\s])(?:password|pwd|passwd)\s?=\s?(?P<v>[^;\"'`&\s<>]+)(?=;|[\"'`&\s<]|$)")
 HEADER = re.compile(r"(?i)authorization[\"'`]?\s*[:,=]\s*[\"'`]?(?:bearer|basic|token|apikey|digest)\s+(?P<v>[^\s\"'`<>,;)]+)")
-FLAG = re.compile(r"(?i)--?(?:password|passwd|pass|pwd|token|secret|auth[-_]token|access[-_]token|api[-_]?key|access[-_]key|secret[-_]key|private[-_]token|client[-_]secret|credential)(?:=|\s+)(?P<q>[\"']?)(?P<v>[^\s\"'`<>,;)]+)")
+FLAG = re.compile(r"(?i)(?<![\w-])--?(?:password|passwd|pass|pwd|token|secret|auth[-_]token|access[-_]token|api[-_]?key|access[-_]key|secret[-_]key|private[-_]token|client[-_]secret|credential)(?:=|\s+)(?P<q>[\"']?)(?P<v>[^\s\"'`<>,;)]+)")
 LOGIN = re.compile(r"(?i)\b\w*(?:login|log_in|sign_?in|authenticate|set_?credentials|basic_?auth)\s*\(\s*([\"'`])[^\"'`\n]*\1\s*,\s*(?P<q>[\"'`])(?P<v>[^\"'`\n]+)(?P=q)")
+CALL = re.compile(r"(?i)\b[\w.:]*(?:password|passwd|passphrase|secret|token|credentials?|api_?key|auth|bearer)\w*\s*\(\s*(?:(?:[^()\"'`,\n]++|\"[^\"\n]*+\"|'[^'\n]*+')*+,\s*+)*([\"'`])(?P<v>[^\"'`\s]{12,})\1\s*[,)]")
 CORE = re.compile(r"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|credential|bearer|key|login")
 VALUE = re.compile(r"[\"']?(?:\s*:\s*[&'\w<>\[\]. ]{1,30}?(?=\s*=))?\s*(?::=|=>|=(?!=)|:(?!:))\s*(?:\w{0,2}(?P<q>\"\"\"|'''|[\"'`])(?P<v>.*?)(?P=q)|(?P<bare>[^\s\"'`<>,;(){}\[\]]+(?=[\s<,;]|$)))")
 REMARK = re.compile(r"(?i)\b(?:login|password|passwd|pwd|passphrase|secret|token|credentials?|(?:(?:api|access|signing|secret|private) ?)?key)\b(?:\s+\w+){0,10}\s*[:=]\s*[\"'`]?(?P<v>[^\s\"'`<>,;]{6,})")
@@ -83,24 +89,36 @@ def is_literal(value: str) -> bool:
     return bool(value) and not REFERENCE.search(value) and not PLACEHOLDER.search(value)
 
 
+NAME_LIKE = re.compile(r"[^\W\d]+(?:[.-][^\W\d]+)*|[a-z_]+-?\d+")
+
+
 def plausible(value: str, p: CredentialParams, doubtful: bool) -> bool:
+    """Whether a value in such a context is a secret: a literal, and not made of ordinary words."""
     if len(value) < 4 or not is_literal(value) or any(c.isspace() for c in value):
         return False
-    if value.isdigit() and len(value) < 12:
-        return False
-    if not doubtful:
-        return bool(re.search(r"[\d\W_]", value)) or subword_length(value, p) < p.natural
-    if len(value) < p.least or re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)*|[A-Z]+(?:_[A-Z]+)*|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[a-z_]+-?\d+|[\d.:-]+", value):
+    if re.fullmatch(r"[\d.:-]+", value) and (doubtful or len(value) < 12):
         return False
-    if re.search(r"[()]|\[\]|::|->|^[./~]|^\w+://", value):
+    if doubtful and (len(value) < p.least or re.search(r"[()]|\[\]|::|->|^[./~]|^\w+://", value)):
         return False
-    return subword_length(value, p) < p.natural
+    return subword_length(value, p) < (p.plain if NAME_LIKE.fullmatch(value) else p.natural)
+
+
+def bare_secret(value: str, p: CredentialParams) -> bool:
+    """Whether a literal that no name or form marks is a secret: of three kinds of characters, no digest, and very unnatural."""
+    kinds = sum(bool(re.search(x, value)) for x in ("[a-z]", "[A-Z]", r"\d", r"[^\w]"))
+    return kinds >= 3 and plausible(value, p, True) and not re.fullmatch(r"[0-9a-fA-F-]+|sha\d+[-:].*", value) and subword_length(value, p) < p.bare
 
 
-def naming(text: str, at: int, end: int) -> tuple[str, int] | None:
-    """The name around a telling word, and where it ends, if it names a secret."""
-    a = at
-    while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_-") and at - a < 60:
+def naming(text: str, at: int, end: int) -> tuple[str | None, int]:
+    """The last word of the name around a telling word, None if it names no secret, and where the name ends.
+
+    The name is read back over three joints; what stands before can't change the last two words.
+    """
+    a, joints = at, 0
+    while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_-"):
+        joints += not text[a - 1].isalnum()
+        if joints > 3:
+            break
         a -= 1
     b = end
     while b < len(text) and (text[b].isalnum() or text[b] == "_"):
@@ -108,11 +126,9 @@ def naming(text: str, at: int, end: int) -> tuple[str, int] | None:
     words = words_of(text[a:b])
     while words and words[-1].isdigit():
         words.pop()
-    if not words:
-        return None
-    if words[-1] in TELLING or (words[-1] in ("key", "keys") and len(words) > 1 and words[-2] in KEYS) or words[-1] in ("apikey", "accesskey", "secretkey"):
+    if words and (words[-1] in TELLING or (words[-1] in ("key", "keys") and len(words) > 1 and words[-2] in KEYS) or words[-1] in ("apikey", "accesskey", "secretkey")):
         return words[-1], b
-    return None
+    return None, b
 
 
 def find_credentials(text: str | None, p: CredentialParams) -> list[tuple[int, int]]:
@@ -146,12 +162,16 @@ def find_credentials(text: str | None, p: CredentialParams) -> list[tuple[int, i
             line = text[text.rfind("\n", 0, m.start()) + 1 :].split("\n", 1)[0]
             if re.search(r"(?i)(?:server|host|data source|user(?: id)?|uid|database)\s?=", line):
                 take(m, False)
-    if "--" in text:
+    if "-" in text:
         for m in FLAG.finditer(text):
             take(m, False)
     if "log" in low or "auth" in low or "sign" in low or "cred" in low:
         for m in LOGIN.finditer(text):
             take(m, True)
+    if "(" in text:
+        for m in CALL.finditer(text):
+            if not inside(m.start("v")) and bare_secret(m.group("v"), p):
+                spans.append(m.span("v"))
     if "_" in text or "-" in text or "AKIA" in text or "AIza" in text or "eyJ" in text or "ASIA" in text:
         for m in KNOWN.finditer(text):
             take(m, False)
@@ -159,11 +179,10 @@ def find_credentials(text: str | None, p: CredentialParams) -> list[tuple[int, i
     for m in CORE.finditer(text):
         if m.start() < skip:
             continue
-        named = naming(text, *m.span())
-        if not named:
-            continue
-        word, end = named
+        word, end = naming(text, *m.span())
         skip = end
+        if word is None:
+            continue
         v = VALUE.match(text, end)
         if not v:
             continue

@@ -34,6 +34,34 @@ def test_cases(text, want):
     assert (secrets(text) if text else find_credentials(text, P)) == want
 
 
+@pytest.mark.parametrize("value", ["SessionCursorTable", "stale_record", "merge-sorted-lists", "VectorIndex", "ordered_parcel_lease"])
+def test_subwords_refuse_words_next_to_a_telling_name(value):
+    text = f'api_token = "{value}"'
+    assert secrets(text) == []
+    blind = CredentialParams(natural=99, plain=99)  # without the subwords each of them would be taken
+    assert [text[a:b] for a, b in find_credentials(text, blind)] == [value]
+
+
+@pytest.mark.parametrize("text", ['client.with_auth("svc", "q7Rk2Vx9Lm4Tz8Wb3Nc6")', 'setBearer("hT9wQz3LkV8rXy2M");'])
+def test_subwords_find_values_without_a_telling_name(text):
+    assert len(secrets(text)) == 1
+    blind = CredentialParams(bare=0)
+    assert find_credentials(text, blind) == []
+
+
+@pytest.mark.parametrize("text", ['parse_token("identifier_of_cursor")', 'check_auth("5816ba72cc3d549bd7d3101f1f0929f48e0c5de9")', 'auth("${SERVICE_TOKEN_FOR_A}")'])
+def test_ordinary_arguments_are_none(text):
+    assert secrets(text) == []
+
+
+def test_one_dash_long_names_and_runs_of_telling_words():
+    assert secrets("tool -password S3cr3t!x9Qq") == ["S3cr3t!x9Qq"] == secrets("tool --v -password S3cr3t!x9Qq")
+    name = "very_long_prefix_" * 20 + "api_key"
+    assert secrets(f'{name} = "MhbEy7htdKM3tyuQc5tGwj"') == ["MhbEy7htdKM3tyuQc5tGwj"]
+    assert secrets("key-" * 100_000 + 'x\napi_key = "MhbEy7htdKM3tyuQc5tGwj"') == ["MhbEy7htdKM3tyuQc5tGwj"]
+    assert secrets("tokenkey" * 50_000 + ' x\napi_key = "MhbEy7htdKM3tyuQc5tGwj"') == ["MhbEy7htdKM3tyuQc5tGwj"]
+
+
 def test_redaction_keeps_offsets_and_lines():
     text = f'a = "x"\nk = """{KEY}"""\nb = 1'
     out = redact(text, P)
