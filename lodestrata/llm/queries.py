@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["similar", "distinctive", "neardup", "tokens", "packing", "handwritten", "credentials", "docpairs", "spam", "markup"]
+MODULES = ["similar", "distinctive", "neardup", "tokens", "packing", "handwritten", "credentials", "docpairs", "spam", "markup", "hostruns"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
