@@ -117,7 +117,7 @@ def pack(items: DataFrame, capacities: DataFrame, params: PackingParams | None =
     caps = {r.pack_id: r.capacity for r in capacities.where("pack_id is not null and capacity > 0").groupBy("pack_id").agg(F.max("capacity").cast("int").alias("capacity")).collect()}
     each = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity")) for k, c in sorted(caps.items())])) if caps else None
     if each is None:
-        empty = f"pack_id int, container_id long, doc_id {kind}, piece int, first_token long, n_tokens long, fill long, capacity int"
+        empty = f"pack_id int, container_id string, doc_id {kind}, piece int, first_token long, n_tokens long, fill long, capacity int"
         return spark.createDataFrame([], empty)
     wide = sized.select("doc_id", "size", each.alias("c")).select("doc_id", "size", "c.*")
     whole = F.floor(F.col("size") / F.col("capacity")).cast("int")
@@ -132,7 +132,7 @@ def pack(items: DataFrame, capacities: DataFrame, params: PackingParams | None =
         return F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(max(1, -(-rows // p.shard_items))))
 
     todo = pieces.where(~full).withColumn("shard", shard(total, 0))
-    done = pieces.where(full).select("pack_id", "doc_id", "piece", "first_token", "n_tokens", F.col("n_tokens").alias("fill"), "capacity", F.lit(-1).alias("round"), F.xxhash64("doc_id", "piece").alias("shard"), F.struct("doc_id", "piece").cast("string").alias("bin"))
+    done = pieces.where(full).select("pack_id", "doc_id", "piece", "first_token", "n_tokens", F.col("n_tokens").alias("fill"), "capacity", F.lit(-1).alias("round"), F.lit(0).cast("long").alias("shard"), F.concat_ws("+", F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("bin"))
     keep = ["pack_id", "doc_id", "piece", "first_token", "n_tokens", "fill", "capacity", "round", "shard", "bin"]
     columns = ["pack_id", "capacity", "shard", "doc_id", "piece", "first_token", "n_tokens"]
     for step in range(p.rounds + 1):
@@ -147,7 +147,8 @@ def pack(items: DataFrame, capacities: DataFrame, params: PackingParams | None =
         if step == p.rounds or left is None:
             break
         todo = placed.where(~certified).drop("shard").withColumn("shard", shard(left[0] // max(1, len(caps)), step + 1))
-    container = F.xxhash64("round", "shard", "bin")
+    # a name, no hash: two containers never share one
+    container = F.concat_ws("/", *[F.col(x).cast("string") for x in ("round", "shard", "bin")])
     return done.select("pack_id", container.alias("container_id"), "doc_id", "piece", "first_token", "n_tokens", "fill", "capacity")
 
 
