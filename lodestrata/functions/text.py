@@ -61,6 +61,15 @@ def crate_text(name, description, dependencies) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Crate: "), name), description, deps)
 
 
+def embed_text_readme(project, content) -> Column:
+    return F.concat(F.lit("Project: "), project, F.lit("\n"), content)
+
+
+def module_doc_text(module, doc) -> Column:
+    """Text of a module's documentation for embedding and rerank; summaries of files and folders stand for themselves."""
+    return F.concat(F.lit("Module: "), module, F.lit("\n"), doc)
+
+
 def embed_text_code(identifier, language, docstring, code, calls) -> Column:
     """Text of a chunk's body vector; the signature has a vector of its own."""
     called = F.when(F.size(calls) > 0, F.concat(F.lit("Calls: "), F.array_join(calls, ", ")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,9 +33,23 @@ def term_score(idf_value: Column, tf: Column, doc_len: Column, average: Column)
     return idf_value * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / F.when(average > 0, average).otherwise(doc_len)))
 
 
+def wanted_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times): a term that a query repeats counts as often."""
+    return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def top(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank), positive scores only; ties go to the smaller id."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return scores.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 @dataclass
 class Corpus:
-    """A corpus with its counts; the two totals are scalars."""
+    """A corpus ``docs(id, text)`` that is read anew by each search; the two totals are scalars.
+
+    A null text has no terms but counts as a document; ids are distinct.
+    """
 
     docs: DataFrame
     n_docs: int
@@ -46,17 +60,65 @@ class Corpus:
         row = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col("text")))).alias("a")).first()
         return cls(docs, row.n, row.a or 0.0)
 
+    def matching(self, wanted: DataFrame) -> DataFrame:
+        """(id, term, tf, doc_len) of the wanted terms only; all rows of a document in one task."""
+        tokens = self.docs.select("id", tokenize(F.col("text")).alias("tokens"))
+        each = tokens.select("id", F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
+        kept = each.join(wanted.select("term").distinct(), "term", "left_semi").repartition("id")
+        return kept.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, id, score) of every document that shares a term with ``queries(query_id, query)``.
 
-        A term that a query repeats counts as often.
+        Tokens that no query has go before anything is shuffled. What is left
+        is partitioned by document, so the scores are summed where they arise;
+        document frequencies come from the same exchange.
         """
-        wanted = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        found = postings(self.docs).join(idf_table(self.docs), "term")
-        part = term_score(idf(F.lit(self.n_docs), F.col("df")), F.col("tf"), F.col("doc_len"), F.lit(self.average))
-        return wanted.join(found, "term").groupBy("query_id", "id").agg(F.sum(F.col("times") * part).alias("score"))
+        wanted = wanted_terms(queries)
+        found = self.matching(wanted)
+        known = wanted.join(found.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", (F.col("times") * idf(F.lit(self.n_docs), F.col("df"))).alias("weight"))
+        part = term_score(F.col("weight"), F.col("tf"), F.col("doc_len"), F.lit(self.average))
+        return found.join(known, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+
+    def topk(self, queries: DataFrame, k: int) -> DataFrame:
+        return top(self.scores(queries), k)
+
+
+BUCKETS = 64
+
+
+def write_index(docs: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """The full-text index of ``docs(id, text)``: postings by bucket of the term, with each term's frequency, and the totals.
+
+    The frequency of a term is counted from documents, map side first, so a
+    term that every document has costs one row for each task; postings are
+    spread by term and document.
+    """
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    postings(docs).join(idf_table(docs), "term").withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    total = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size(tokenize(F.col("text")))), F.lit(0.0)).alias("average"), F.lit(buckets).alias("buckets"))
+    total.write.mode("overwrite").parquet(f"{folder}/totals")
+
+
+@dataclass
+class Index:
+    """An index that :func:`write_index` wrote; a search reads only the buckets of its terms."""
+
+    postings: DataFrame
+    n_docs: int
+    average: float
+    buckets: int
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        row = spark.read.parquet(f"{folder}/totals").first()
+        return cls(spark.read.parquet(f"{folder}/postings"), row.n_docs, row.average, row.buckets)
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        wanted = wanted_terms(queries).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        found = self.postings.join(wanted, ["bucket", "term"])
+        part = term_score(F.col("times") * idf(F.lit(self.n_docs), F.col("df")), F.col("tf"), F.col("doc_len"), F.lit(self.average))
+        return found.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
     def topk(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, id, score, rank), positive scores only; ties go to the smaller id."""
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-        return self.scores(queries).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return top(self.scores(queries), k)

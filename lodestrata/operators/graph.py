@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from lodestrata.functions.vectors import tier_score
 from lodestrata.runtime import cut_lineage
 
-MAX_DEPTH = 32
 #: fixed values: words that name no target
 STOP_WORDS = ["the", "a", "an", "this", "that", "my", "our", "your", "its", "function", "method", "class", "struct", "module", "file", "code", "in", "of", "to", "from", "for", "with"]
 
@@ -30,11 +29,20 @@ def neighbours(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
 
 
 def bfs(edges: DataFrame, starts: DataFrame, direction: str, max_depth: int) -> DataFrame:
-    """(node, depth) reachable from ``starts(node)``, least depth each; the starts are left out. Cycles end."""
-    step = edges.select(F.col("callee" if direction == "callers" else "caller").alias("from"), F.col("caller" if direction == "callers" else "callee").alias("node")).where("from is not null and node is not null").distinct()
+    """(node, depth) reachable from ``starts(node)``, least depth each; the starts are left out.
+
+    direction is callers, callees or both. Cycles end, and the search ends
+    where nothing new is reached, however great ``max_depth`` is; depth 1 is
+    always searched.
+    """
+    up, down = edges.select(F.col("callee").alias("from"), F.col("caller").alias("node")), edges.select(F.col("caller").alias("from"), F.col("callee").alias("node"))
+    step = {"callers": up, "callees": down}.get(direction)
+    step = (up.unionByName(down) if step is None else step).where("from is not null and node is not null").distinct()
     seen = starts.select("node", F.lit(0).alias("depth")).distinct()
     front = seen
-    for depth in range(1, max(1, min(max_depth, MAX_DEPTH)) + 1):
+    for depth in range(1, max(1, max_depth) + 1):
+        if depth % 8 == 0:
+            seen = cut_lineage(seen)
         reached = front.select(F.col("node").alias("from")).join(step, "from").select("node").distinct().join(seen, "node", "left_anti")
         front = cut_lineage(reached.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -95,7 +103,8 @@ def resolve_target(candidates: DataFrame, unique: DataFrame) -> DataFrame:
 
     Test functions are left out unless there is nothing else. In order: the
     same identifier, a unique identifier of the graph, one that contains the
-    term; without a term the first candidate. ``unique``: (identifier, chunk_id).
+    term; without a term the first candidate. ``unique``: (identifier, chunk_id),
+    or (query_id, identifier, chunk_id) where what is unique depends on the question.
     """
     test = F.col("identifier").startswith("test_")
     any_real = F.max((~test).cast("int")).over(Window.partitionBy("query_id"))
@@ -103,7 +112,7 @@ def resolve_target(candidates: DataFrame, unique: DataFrame) -> DataFrame:
     term, name = F.lower("term"), F.lower("identifier")
     own = usable.select("query_id", F.col("id").alias("chunk_id"), "rank", F.when(F.col("term").isNull(), 4).when(name == term, 1).when(F.contains(name, term), 3).alias("how")).where("how is not null")
     queries = usable.where("term is not null").select("query_id", term.alias("identifier")).distinct()
-    known = queries.join(unique, "identifier").select("query_id", "chunk_id", F.lit(0).alias("rank"), F.lit(2).alias("how"))
+    known = queries.join(unique, ["query_id", "identifier"] if "query_id" in unique.columns else "identifier").select("query_id", "chunk_id", F.lit(0).alias("rank"), F.lit(2).alias("how"))
     w = Window.partitionBy("query_id").orderBy("how", "rank", "chunk_id")
     return own.unionByName(known).withColumn("n", F.row_number().over(w)).where("n = 1").select("query_id", "chunk_id", "how")
 
@@ -111,11 +120,12 @@ def resolve_target(candidates: DataFrame, unique: DataFrame) -> DataFrame:
 def augment(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, id, score): one hop from ``targets(query_id, node, direction)`` over edges with a tier.
 
-    The score is that of the best tier between target and chunk.
+    Targets with a project_name keep to the edges of that project. The score is that of the best tier between target and chunk.
     """
-    callers = edges.select(F.col("callee").alias("node"), F.col("caller").alias("id"), "tier", F.lit("callers").alias("way"))
-    callees = edges.select(F.col("caller").alias("node"), F.col("callee").alias("id"), "tier", F.lit("callees").alias("way"))
-    hit = targets.join(callers.unionByName(callees), "node").where((F.col("direction") == "both") | (F.col("direction") == F.col("way")))
+    within = ["project_name"] if "project_name" in targets.columns else []
+    callers = edges.select(F.col("callee").alias("node"), F.col("caller").alias("id"), "tier", F.lit("callers").alias("way"), *within)
+    callees = edges.select(F.col("caller").alias("node"), F.col("callee").alias("id"), "tier", F.lit("callees").alias("way"), *within)
+    hit = targets.join(callers.unionByName(callees), ["node", *within]).where((F.col("direction") == "both") | (F.col("direction") == F.col("way")))
     return hit.groupBy("query_id", "id").agg(F.min("tier").alias("tier")).select("query_id", "id", tier_score(F.col("tier")).alias("score"))
 
 
@@ -126,9 +136,11 @@ def merge(results: DataFrame, graph: DataFrame) -> DataFrame:
     return marked.unionByName(fresh)
 
 
-def reserve(rows: DataFrame, limit: int, least: int) -> DataFrame:
+def reserve(rows: DataFrame, limit: int, least: int | Column) -> DataFrame:
     """The first ``limit`` of ``rows(query_id, id, score, from_graph, pos)``, at least ``least`` of them from the graph if there are so many.
 
+    least may be a column of the rows.
+
     Graph rows below the cut push out the lowest-scored others above it.
     """
     q = Window.partitionBy("query_id")
@@ -136,7 +148,7 @@ def reserve(rows: DataFrame, limit: int, least: int) -> DataFrame:
     have = F.sum((upper & F.col("from_graph")).cast("int")).over(q)
     order = Window.partitionBy("query_id", "from_graph", "upper").orderBy("pos")
     base = rows.withColumn("upper", upper).withColumn("have", have).withColumn("nth", F.row_number().over(order))
-    lifted = ~F.col("upper") & F.col("from_graph") & (F.col("nth") <= F.greatest(F.lit(0), F.lit(least) - F.col("have")))
+    lifted = ~F.col("upper") & F.col("from_graph") & (F.col("nth") <= F.greatest(F.lit(0), (least if isinstance(least, Column) else F.lit(least)) - F.col("have")))
     base = base.withColumn("lifted", lifted).withColumn("lifts", F.sum(F.col("lifted").cast("int")).over(q)).withColumn("others", F.sum((F.col("upper") & ~F.col("from_graph")).cast("int")).over(q))
     best = Window.partitionBy("query_id", "upper", "from_graph").orderBy(F.desc(F.round("score", 9)), "pos")
     base = base.withColumn("best", F.row_number().over(best))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,13 +32,42 @@ def deletions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("chunk_id").distinct().join(new.select("chunk_id"), "chunk_id", "left_anti")
 
 
+@dataclass
+class Diff:
+    """status: (path, status). come: rows to put in. go: (key) of stored rows that are no more."""
+
+    status: DataFrame
+    come: DataFrame
+    go: DataFrame
+
+
+def reconcile(existing: DataFrame, incoming: DataFrame, path: str, key: str) -> Diff:
+    """What has to change so that ``existing`` becomes ``incoming``, by content hash of each path.
+
+    A path may have many rows (the chunks of a file, which share its hash), one
+    (a file's, folder's or module's summary), or be a name (a crate's). Rows of
+    unchanged paths stay as they are stored. A null path is one path.
+    """
+    keyed = lambda d: d.select(F.coalesce(F.col(path), F.lit("")).alias("path"), "content_hash")
+    state = status(keyed(existing), keyed(incoming))
+    at = F.coalesce(F.col(path), F.lit(""))
+    of = lambda d, *which: d.withColumn("__path", at).join(state.where(F.col("status").isin(*which)).select(F.col("path").alias("__path")), "__path", "left_semi").select(d.columns)
+    come = of(incoming, "new", "changed")
+    # a chunk may have moved to another path, so what comes in never goes
+    go = of(existing, "changed", "deleted").select(key).distinct().join(incoming.select(key), key, "left_anti")
+    return Diff(state, come, go)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, newest: str | None = None) -> DataFrame:
-    """``existing`` with the rows of ``incoming`` put in by key; of several rows of one key the newest comes in."""
+    """``existing`` with the rows of ``incoming`` put in by key; of several rows of one key the newest comes in.
+
+    Rows with a null key name nothing that could be replaced: stored ones stay, incoming ones don't come in.
+    """
     columns = existing.columns
     others = [c for c in columns if c != key]
     order = F.struct(*([F.col(newest)] if newest else []), *others)
-    best = incoming.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*").select(columns)
-    return existing.join(best, key, "left_anti").unionByName(best)
+    best = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*").select(columns)
+    return existing.join(best, key, "left_anti").select(columns).unionByName(best)
 
 
 def delete_where(existing: DataFrame, condition: Column) -> DataFrame:

@@ -19,17 +19,18 @@ def knn(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int)
     return found.orderBy(F.round("distance", 9), "id").limit(k)
 
 
-def knn_batch(rows: DataFrame, queries: DataFrame, k: int, dim: int, block: int = 4096) -> DataFrame:
+def knn_batch(rows: DataFrame, queries: DataFrame, k: int, dim: int, block: int = 4096, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(query_id, id, distance, rank) of each query's k nearest rows by L2.
 
     ``rows``: (id, vector); ``queries``: (query_id, vector). Both sides are cut
     into blocks; a cell compares one block of each, keeps k for each query, and
     the cells' results are merged. Vectors that are null or of another length
-    take no part; ties go to the smaller id.
+    take no part; ties go to the smaller id. sizes: how many rows and queries
+    there are at most, where that is known; they are counted otherwise.
     """
     ship_package(rows.sparkSession)
     good = lambda d: d.where(F.size("vector") == dim)
-    n_r, n_q = good(rows).count(), good(queries).count()
+    n_r, n_q = sizes or (good(rows).count(), good(queries).count())
     b_r, b_q = max(1, -(-n_r // block)), max(1, -(-n_q // block))
     cell = lambda a, b: (a * F.lit(b_q) + b).cast("long")
     own = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b))
@@ -43,19 +44,22 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int, dim: int, block: int
         x = np.array(t.column("vector").combine_chunks().flatten()).reshape(-1, dim)
         keys = np.array(t.column("key").to_pylist(), object)
         q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out: dict[str, list] = {"q": [], "r": [], "distance": []}
-        for at in range(0, len(q), 256):
+        place = np.empty(len(r), np.int64)  # of each row's id among all
+        place[np.argsort(np.array([int(i) for i in keys[r]], np.int64) if number else keys[r].astype(str), kind="stable")] = np.arange(len(r))
+        found = []
+        for at in range(0, len(q) if len(r) else 0, 256):
             part = q[at : at + 256]
-            d = np.sqrt(np.maximum(((x[part] ** 2).sum(1)[:, None] - 2 * x[part] @ x[r].T + (x[r] ** 2).sum(1)[None, :]), 0)) if len(r) else np.zeros((len(part), 0))
-            top = np.argpartition(d, min(k + 8, d.shape[1]) - 1, axis=1)[:, : k + 8] if d.shape[1] > k + 8 else np.tile(np.arange(d.shape[1]), (len(part), 1))
-            for i, row in enumerate(part):
-                exact = np.sqrt(((x[row] - x[r[top[i]]]) ** 2).sum(1))
-                ids = keys[r[top[i]]]
-                order = sorted(range(len(ids)), key=lambda j: (round(exact[j], 9), int(ids[j]) if number else ids[j]))[:k]
-                out["q"] += [keys[row]] * len(order)
-                out["r"] += [ids[j] for j in order]
-                out["distance"] += [float(exact[j]) for j in order]
-        return pa.table(out, schema=pa.schema([("q", pa.string()), ("r", pa.string()), ("distance", pa.float64())]))
+            d = np.sqrt(np.maximum((x[part] ** 2).sum(1)[:, None] - 2 * x[part] @ x[r].T + (x[r] ** 2).sum(1)[None, :], 0))
+            last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(part), np.inf)
+            # all rows as near as the k-th, however many there are; their exact distances and ids settle ties
+            i, j = np.nonzero(d <= (last * (1 + 1e-9) + 1e-5)[:, None])
+            exact = np.sqrt(((x[part[i]] - x[r[j]]) ** 2).sum(1))
+            order = np.lexsort((place[j], np.round(exact, 9), i))
+            i, j, exact = i[order], j[order], exact[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((keys[part[i[keep]]], keys[r[j[keep]]], exact[keep]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
+        return pa.table({"q": pa.array(columns[0], pa.string()), "r": pa.array(columns[1], pa.string()), "distance": pa.array(columns[2], pa.float64())})
 
     found = both.groupBy("cell").applyInArrow(nearest, "q string, r string, distance double")
     typed = found.select(F.col("q").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), F.col("r").cast(dict(rows.dtypes)["id"]).alias("id"), "distance")

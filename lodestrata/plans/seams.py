@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.functions.text import tokenize
 from lodestrata.functions.vectors import sigmoid
 from lodestrata.runtime import ship_package
 
@@ -44,6 +45,19 @@ def lexical_reranker(queries: list[str], texts: list[str]) -> list[float]:
     return out
 
 
+def term_vector(text: Column, dim: int = 16) -> Column:
+    """A stand-in embedder without Python: counts of hashed terms, of length 1 (all zero for a text without terms)."""
+    bucket = F.transform(tokenize(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int"), F.lit(dim)))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.aggregate(bucket, F.array_repeat(F.lit(0.0), dim), lambda acc, b: F.transform(acc, lambda x, i: x + F.when(i == b, 1.0).otherwise(0.0)), lambda acc: F.transform(acc, lambda x: x / F.greatest(norm(acc), F.lit(1.0))))
+
+
+def lexical_score(query: Column, text: Column) -> Column:
+    """A stand-in reranker without Python: a logit from the share of the question's terms that the text has."""
+    terms = F.array_distinct(tokenize(query))
+    return 8.0 * F.size(F.array_intersect(terms, tokenize(text))) / F.greatest(F.lit(1), F.size(terms)) - 4.0
+
+
 def embed(text: Column, embedder: Embedder = hashing_embedder) -> Column:
     ship_package(SparkSession.getActiveSession())
 
@@ -54,14 +68,25 @@ def embed(text: Column, embedder: Embedder = hashing_embedder) -> Column:
     return run(text)
 
 
-def rerank(candidates: DataFrame, reranker: Callable, limit: int) -> DataFrame:
-    """(query_id, id, score, rank): ``candidates(query_id, id, query, text)`` by the reranker's score, ties by id."""
-    ship_package(candidates.sparkSession)
+def guarded(reranker: Callable) -> Callable[[Column, Column], Column]:
+    """A reranker over lists as a Column function; a batch that it fails has no scores."""
 
     @F.pandas_udf("double")
     def logits(q: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series(reranker(list(q), list(t)), dtype="float64")
+        try:
+            return pd.Series(reranker(list(q), list(t)), dtype="float64")
+        except Exception:  # noqa: BLE001  whatever a model raises
+            return pd.Series([None] * len(q), dtype="float64")
 
-    scored = candidates.select("query_id", "id", sigmoid(logits("query", "text")).alias("score"))
+    return logits
+
+
+def rerank(candidates: DataFrame, score: Callable[[Column, Column], Column], limit: int) -> DataFrame:
+    """(query_id, id, score, rank): ``candidates(query_id, id, query, text)`` by the reranker's score, ties by id.
+
+    score: question and text to a logit; :func:`guarded` makes one of a reranker over lists.
+    """
+    ship_package(candidates.sparkSession)
+    scored = candidates.select("query_id", "id", sigmoid(score(F.col("query"), F.col("text"))).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

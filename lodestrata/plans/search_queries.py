@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from lodestrata.operators import fusion, intent
 from lodestrata.operators.fulltext import Corpus, idf, idf_table as idf_op, postings
 from lodestrata.operators.vectors import knn, knn_batch as knn_batch_op
-from lodestrata.plans.sql import BY_100, CC, RC, SIG, VEC, bm25, searchable, tokens
+from lodestrata.plans.sql import BY_100, CC, RC, SIG, VEC, bm25, cut, tokens
 from lodestrata.sources.tables import Tables
 
 QUERIES: dict = {}
@@ -215,43 +215,6 @@ def vote_project(t: Tables) -> DataFrame:
     return fusion.vote(flat(t).withColumnRenamed("project", "project_name"))
 
 
-TICKS = "chr(96) || chr(96) || chr(96)"
-CODE_PART = f"chr(10) || '### ' || chr(96) || cc.identifier || chr(96) || ' in ' || cc.project_name || ' (' || cc.file_path || ':' || cc.start_line || ')' || chr(10) || case when cc.docstring is not null then '**Docs:** ' || cc.docstring || chr(10) else '' end || {TICKS} || cc.language || chr(10) || trim(cc.code_content, chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) || {TICKS} || chr(10)"
-CONTEXT = f"""code_part as (select query_id, '## Relevant Code' || chr(10) || string_agg({CODE_PART}, '' order by rank) as part from flat join cc on chunk_id = id where chunk_type = 'code' group by query_id),
-    crate_part as (select query_id, '## Crate Structure' || chr(10) || string_agg(chr(10) || '### Crate ' || chr(96) || crate_name || chr(96) || ' (' || project_name || ')' || chr(10) || '**Description:** ' || coalesce(description, 'No description available') || chr(10)
-        || '**Local dependencies:** ' || coalesce(nullif(array_to_string(dependencies, ', '), ''), 'none') || chr(10), '' order by rank) as part from flat join crate_chunks on chunk_id = id where chunk_type = 'crate' group by query_id),
-    context as (select query_id, concat_ws(chr(10) || chr(10), crate_part.part, code_part.part) as context from crate_part full join code_part using (query_id))"""
-
-
-def context(t: Tables) -> DataFrame:
-    """(query_id, context): crates, then code, each section in rank order."""
-    rows = flat(t)
-    order = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part))), lambda x: x["part"]), "")
-    cc = t.code("identifier", "project_name", "file_path", "start_line", "docstring", "language", "code_content").withColumnsRenamed({"chunk_id": "id"}).drop("rank")
-    docs_line = F.when(c("docstring").isNotNull(), F.concat(F.lit("**Docs:** "), "docstring", F.lit("\n"))).otherwise("")
-    one = F.concat(F.lit("\n### `"), "identifier", F.lit("` in "), "project_name", F.lit(" ("), "file_path", F.lit(":"), c("start_line").cast("string"), F.lit(")\n"), docs_line, F.lit("```"), "language", F.lit("\n"), F.trim(c("code_content"), F.lit(" \t\n\r")), F.lit("\n```\n"))
-    code = rows.where("chunk_type = 'code'").select("query_id", "rank", "id").join(cc, "id").select("query_id", "rank", one.alias("part")).groupBy("query_id").agg(F.concat(F.lit("## Relevant Code\n"), order("part")).alias("code"))
-    k = t.crates().withColumnRenamed("chunk_id", "id").select("id", "crate_name", "project_name", "description", "dependencies")
-    deps = F.coalesce(F.when(F.array_join("dependencies", ", ") != "", F.array_join("dependencies", ", ")), F.lit("none"))
-    two = F.concat(F.lit("\n### Crate `"), "crate_name", F.lit("` ("), "project_name", F.lit(")\n**Description:** "), F.coalesce("description", F.lit("No description available")), F.lit("\n**Local dependencies:** "), deps, F.lit("\n"))
-    crate = rows.where("chunk_type = 'crate'").select("query_id", "rank", "id").join(k, "id").select("query_id", "rank", two.alias("part")).groupBy("query_id").agg(F.concat(F.lit("## Crate Structure\n"), order("part")).alias("crate"))
-    return crate.join(code, "query_id", "full_outer").select("query_id", F.concat_ws("\n\n", "crate", "code").alias("context"))
-
-
-@query(f"{ALL_TYPES}, {CONTEXT} select query_id, context from context")
-def build_context(t: Tables) -> DataFrame:
-    return context(t)
-
-
-SYSTEM = "Answer from the context below. Say so if it does not hold the answer."
-
-
-@query(f"{ALL_TYPES}, {CONTEXT} select query_id, '{SYSTEM}' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || context || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Question:** ' || query as prompt from context join queries using (query_id)")
-def build_prompt(t: Tables) -> DataFrame:
-    wide = context(t).join(text_queries(t), "query_id")
-    return wide.select("query_id", F.concat(F.lit(SYSTEM + "\n\n---\n\n"), "context", F.lit("\n\n---\n\n**Question:** "), "query").alias("prompt"))
-
-
 # --- intent ----------------------------------------------------------------------------------
 
 LABELLED = """protos as (select label as proto_id, case label % 4 when 0 then 'overview' when 1 then 'implementation' when 2 then 'relationship' else 'comparison' end as intent, list(m order by i) as proto
@@ -318,25 +281,17 @@ def comparison_fusion(t: Tables) -> DataFrame:
     return fused.withColumn("place", place).where("place <= 5").select("query_id", "id", F.round("relevance", 6).alias("relevance"), c("place").cast("long").alias("place"))
 
 
-HYBRID_TYPED = TYPED.replace("1.0::double / (60 + rank) as relevance from bm where rank <= 5", "score as relevance from fused where rank <= 5")
-
-
-@query(f"with {BM}, {VEC}, {near('vec', 'nv')}, {fused_sql('bm', 'nv')}, {R_BM}, {K_BM}, {HYBRID_TYPED}, {PATHED}, {FLAT} select query_id, rank, chunk_type, id, file_path, round(relevance, 6) as relevance from flat")
-def retrieve_flat(t: Tables) -> DataFrame:
-    """The pipeline over a batch of questions: hybrid code arm, readmes and crates, one ranked list for each."""
-    from lodestrata.plans.retrieve import retrieve
-
-    found = retrieve(t, text_queries(t), t.vectors().where(by_100("id")).withColumnRenamed("id", "query_id"))
-    return found.select("query_id", c("rank").cast("long").alias("rank"), "chunk_type", "id", "file_path", F.round("relevance", 6).alias("relevance"))
+RERANKED = f"""texts as (select chunk_id as id, concat_ws(chr(10), coalesce(signature, identifier) || ' (' || language || ')', nullif(docstring, ''), {cut('code_content', 1200, '...')}) as rr from cc),
+    cand as (select f.query_id, f.id, list_distinct({tokens('query')}) as qt, list_distinct({tokens('rr')}) as tt from fused f join queries using (query_id) join texts on texts.id = f.id where rank <= 20),
+    scored as (select query_id, id, 1 / (1 + exp(-(8.0::double * len(list_intersect(qt, tt)) / greatest(1, len(qt)) - 4.0::double))) as score from cand)"""
 
 
-@query()
+@query(f"with {BM}, {VEC}, {near('vec', 'nv')}, {fused_sql('bm', 'nv')}, {RERANKED} select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from scored) where rank <= 5")
 def rerank(t: Tables) -> DataFrame:
     """Candidates of the hybrid arm scored by a reranker seam (a lexical stand-in for a model)."""
     from lodestrata.functions.text import rerank_text_code
-    from lodestrata.plans.seams import lexical_reranker, rerank as rerank_op
+    from lodestrata.plans.seams import lexical_score, rerank as rerank_op
 
-    found = fusion.rrf([Corpus.of(docs(t)).topk(text_queries(t), 10), nearest(t)], 20)
+    found = fusion.rrf([Corpus.of(docs(t)).topk(text_queries(t), 10), nearest(t)], 20).select("query_id", "id")
     texts = t.code("signature", "identifier", "language", "docstring", "code_content").select(c("chunk_id").alias("id"), rerank_text_code(c("signature"), c("identifier"), c("language"), c("docstring"), c("code_content")).alias("text"))
-    ranked = rerank_op(found.join(text_queries(t), "query_id").join(texts, "id"), lexical_reranker, 5)
-    return ranked.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return show(rerank_op(found.join(text_queries(t), "query_id").join(texts, "id"), lexical_score, 5))

@@ -9,9 +9,13 @@ from lodestrata.operators import edges as edge_ops
 from lodestrata.operators import evaluation as ev
 from lodestrata.operators import graph, intent, summaries
 from lodestrata.operators import reconcile as rec
-from lodestrata.operators.fulltext import Corpus
+from lodestrata.operators.fulltext import Corpus, Index
 from lodestrata.plans.search_queries import BM, by_100, docs, text_queries
-from lodestrata.plans.sql import BY_100, CC, EDGES, RC
+from lodestrata.plans.sql import BY_100, CC, EDGES, RC, bm25
+from lodestrata.runtime import shared_folder
+from lodestrata.sources.store import ChunkStore, persist_edges
+from lodestrata.sources.store import ingest_full as run_full
+from lodestrata.sources.store import ingest_incremental as run_incremental
 from lodestrata.sources.tables import Tables
 
 QUERIES: dict = {}
@@ -188,7 +192,9 @@ def graph_partition(t: Tables) -> DataFrame:
 # --- edges: the calls of the stored graph, resolved again ----------------------------------------
 
 CALLS = f"""{CC}, {EDGES}, calls as (select distinct caller, callee_identifier from edges),
-    imports as (select caller_file as file_path, callee_identifier as imported_name, max('crate::' || replace(regexp_replace(callee_file, '\\.[^./]*$', ''), '/', '::')) as source_path from edges where tier = 2 group by all),
+    imported as (select caller_file as file_path, callee_identifier as imported_name, 'crate::' || replace(regexp_replace(callee_file, '\\.[^./]*$', ''), '/', '::') as source_path, strlen(callee_file) as position from edges where tier = 2
+      union all select caller_file, callee_identifier, 'zz::earlier', 0 from edges where tier = 2),
+    imports as (select file_path, imported_name, arg_max(source_path, (position, source_path)) as source_path from imported group by all),
     cand as (select caller, callee_identifier, a.file_path as caller_file, b.chunk_id as callee, b.file_path as callee_file from calls join cc a on a.chunk_id = caller join cc b on b.identifier = callee_identifier where caller <> b.chunk_id)"""
 P = "replace(replace(regexp_replace({0}, '^(crate::|super::|self::)+', ''), '::', '/'), '.', '/')"
 FITS = f"contains(callee_file, {P.format('source_path')})"
@@ -198,7 +204,9 @@ def call_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = t.edges()
     calls = e.select("caller", "callee_identifier").distinct()
     source = F.concat(F.lit("crate::"), F.replace(F.regexp_replace("callee_file", r"\.[^./]*$", ""), F.lit("/"), F.lit("::")))
-    imports = e.where("tier = 2").select(c("caller_file").alias("file_path"), c("callee_identifier").alias("imported_name"), source.alias("source_path"))
+    named = e.where("tier = 2").select(c("caller_file").alias("file_path"), c("callee_identifier").alias("imported_name"), source.alias("source_path"), F.octet_length("callee_file").alias("position"))
+    # each name is imported once more, earlier, from a path that sorts last
+    imports = named.unionByName(named.withColumns({"source_path": F.lit("zz::earlier"), "position": F.lit(0)}))
     return t.code("identifier", "file_path"), calls, imports
 
 
@@ -220,7 +228,7 @@ def edge_resolution(t: Tables) -> DataFrame:
 @query(f"with {CALLS} select distinct caller_file, callee_file, source_path, {FITS} as fits from cand join imports on file_path = caller_file and imported_name = callee_identifier")
 def import_path_match(t: Tables) -> DataFrame:
     chunks, calls, imports = call_inputs(t)
-    last = imports.groupBy("file_path", "imported_name").agg(F.max("source_path").alias("source_path"))
+    last = edge_ops.last_imports(imports)
     wide = edge_ops.candidates(chunks, calls).join(last, (c("file_path") == c("caller_file")) & (c("imported_name") == c("callee_identifier")))
     return wide.select("caller_file", "callee_file", "source_path", edge_ops.import_matches(c("callee_file"), c("source_path")).alias("fits")).distinct()
 
@@ -313,39 +321,115 @@ def merge_upsert(t: Tables) -> DataFrame:
     return rec.upsert(*snapshots(t), "chunk_id")
 
 
+STORED = ["chunk_id", "file_path", "content_hash", "identifier", "embedding_model_version", "project_name", "searchable_text"]
+STORES = f"""{CC}, gone as (select project_name as p from cc group by 1 order by count(*) desc, 1 limit 1), old as (select {', '.join(STORED)} from cc where committed_at < timestamp '{SPLIT}' or committed_at is null),
+    new as (select {', '.join(STORED).replace('content_hash', "case when language = 'go' then content_hash || 'v2' else content_hash end as content_hash")} from cc, gone where project_name <> p)"""
+
+
+def stored_snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The two snapshots with all that a store keeps of them."""
+    more = t.code("project_name", "searchable_text")
+    return tuple(d.join(more, "chunk_id").select(*STORED) for d in snapshots(t))
+
+
+def stocked(t: Tables, name: str, rows: DataFrame) -> ChunkStore:
+    """A fresh store in the shared folder that holds ``rows``."""
+    store = ChunkStore(t.spark, shared_folder(t.spark, "store"), buckets=8)
+    store.upsert(name, rows)
+    return store
+
+
+@query(f"with {STORES} select * from old where project_name not in (select project_name from new) union all select * from new")
+def ingest_full(t: Tables) -> DataFrame:
+    """The older snapshot is stored, then the projects of the newer one are ingested anew; the table as written."""
+    old, new = stored_snapshots(t)
+    store = stocked(t, "code_chunks", old)
+    run_full(store, {"code_chunks": new})
+    return store.read("code_chunks").select(*STORED)
+
+
 @query(
-    f"""with {SNAPSHOTS}, {STATUS} select old.* from old join st on path = file_path and status = 'unchanged'
+    f"""with {STORES}, {STATUS} select old.* from old join st on path = file_path and status = 'unchanged'
     union all select new.* from new join st on path = file_path and status in ('new', 'changed')"""
 )
 def ingest_incremental(t: Tables) -> DataFrame:
-    return rec.incremental(*snapshots(t)).select("chunk_id", "file_path", "content_hash", "identifier", "embedding_model_version")
+    """The older snapshot is stored, then the newer one comes in incrementally; the table as written."""
+    old, new = stored_snapshots(t)
+    store = stocked(t, "code_chunks", old)
+    run_incremental(store, {"code_chunks": new})
+    return store.read("code_chunks").select(*STORED)
 
 
-@query(f"with {CC} select chunk_id, project_name from cc where not (language = 'go' and coalesce(contains(file_path, '/tests/'), false))")
-def delete_by_predicate(t: Tables) -> DataFrame:
-    return rec.delete_where(t.code("project_name", "language", "file_path"), (c("language") == "go") & c("file_path").contains("/tests/")).select("chunk_id", "project_name")
+@query(f"with {STORES}, {STATUS}, done as (select old.* from old join st on path = file_path and status = 'unchanged' union all select new.* from new join st on path = file_path and status in ('new', 'changed')), {bm25('(select chunk_id as id, searchable_text as text from done)', '(select chunk_id as query_id, searchable_text as query from done where ' + BY_100.format('chunk_id') + ')')} select query_id, id, round(score, 6) as score, rank from bm")
+def ingest_index(t: Tables) -> DataFrame:
+    """A search in the full-text index that the incremental run left behind."""
+    old, new = stored_snapshots(t)
+    store = stocked(t, "code_chunks", old)
+    run_incremental(store, {"code_chunks": new})
+    asked = store.read("code_chunks").where(by_100("chunk_id")).select(c("chunk_id").alias("query_id"), c("searchable_text").alias("query"))
+    found = Index.open(t.spark, f"{store.folder}/_fulltext/code_chunks").topk(asked, 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), c("rank").cast("long").alias("rank"))
 
 
-@query(f"with {CC}, {EDGES} select chunk_id, identifier from cc where chunk_id not in (select callee from edges)")
-def delete_by_ids(t: Tables) -> DataFrame:
-    return rec.delete_ids(t.code("identifier"), t.edges().select(c("callee").alias("chunk_id")), "chunk_id")
+EDGE_COLUMNS = ["edge_id", "caller", "callee", "caller_identifier", "callee_identifier", "caller_file", "callee_file", "project_name", "tier"]
 
 
-@query()
-def ingest_full(t: Tables) -> DataFrame:
-    """All projects anew: rows that come in, their texts embedded by the stand-in."""
-    from lodestrata.plans.seams import embed
+@query(f"with {EDGES}, top as (select project_name as p from edges group by 1 order by count(*) desc, 1 limit 1) select {', '.join(EDGE_COLUMNS)} from edges, top where project_name <> p or tier = 1")
+def edge_persistence(t: Tables) -> DataFrame:
+    """All edges are stored, then those of one project are replaced by its edges of tier 1."""
+    e = t.edges().select(*EDGE_COLUMNS)
+    top = e.groupBy("project_name").count().orderBy(F.desc("count"), "project_name").first().project_name
+    store = stocked(t, "call_edges", e)
+    persist_edges(store, e.where((c("project_name") == top) & (c("tier") == 1)))
+    return store.read("call_edges").select(*EDGE_COLUMNS)
 
-    code = t.code("file_path", "project_name", "searchable_text")
-    return code.select("chunk_id", "file_path", "project_name", F.size(embed(c("searchable_text"))).alias("dimensions"))
 
+def diff_sql(path: str) -> str:
+    return f"""st as (select coalesce(o.path, n.path) as path, case when o.h is null then 'new' when n.h is null then 'deleted' when o.h = n.h then 'unchanged' else 'changed' end as status
+      from (select {path} as path, min(content_hash) as h from old group by 1) o full join (select {path} as path, min(content_hash) as h from new group by 1) n on o.path = n.path)
+    select 'status' as part, path as subject, status from st union all select distinct 'come', chunk_id, null from new join st on path = {path} where status in ('new', 'changed')
+    union all select distinct 'go', chunk_id, null from old join st on path = {path} where status in ('changed', 'deleted') and chunk_id not in (select chunk_id from new)"""
 
-@query()
-def sink_export_rows(t: Tables) -> DataFrame:
-    """Every row of the exported bundle as one JSON line."""
-    from lodestrata.sources.bundle import bundle_rows
 
-    return bundle_rows(t)
+def diffed(old: DataFrame, new: DataFrame, path: str) -> DataFrame:
+    d = rec.reconcile(old, new, path, "chunk_id")
+    none = F.lit(None).cast("string")
+    parts = [d.status.select(F.lit("status").alias("part"), c("path").alias("subject"), "status"), d.come.select(F.lit("come").alias("part"), c("chunk_id").alias("subject"), none.alias("status")).distinct(), d.go.select(F.lit("go").alias("part"), c("chunk_id").alias("subject"), none.alias("status"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"with {SNAPSHOTS}, {diff_sql('file_path')}")
+def reconcile_files(t: Tables) -> DataFrame:
+    """Many chunks a path."""
+    return diffed(*snapshots(t), "file_path")
+
+
+@query(f"with {RC}, gone as (select project_name as p from rc group by 1 order by count(*) desc, 1 limit 1), old as (select chunk_id, file_path, content_hash from rc where committed_at < timestamp '{SPLIT}' or committed_at is null), new as (select chunk_id, file_path, case when length(content) % 5 = 0 then content_hash || 'v2' else content_hash end as content_hash from rc, gone where project_name <> p), {diff_sql('file_path')}")
+def reconcile_paths(t: Tables) -> DataFrame:
+    """One chunk a path."""
+    rc = t.readme("file_path", "content_hash", "content", "committed_at", "project_name")
+    gone = rc.groupBy("project_name").count().orderBy(F.desc("count"), "project_name").first().project_name
+    old = rc.where((c("committed_at") < F.lit(SPLIT).cast("timestamp_ntz")) | c("committed_at").isNull())
+    new = rc.where(c("project_name") != gone).withColumn("content_hash", F.when(F.length("content") % 5 == 0, F.concat("content_hash", F.lit("v2"))).otherwise(c("content_hash")))
+    return diffed(old.select("chunk_id", "file_path", "content_hash"), new.select("chunk_id", "file_path", "content_hash"), "file_path")
+
+
+@query(f"with old as (select chunk_id, crate_name, content_hash from crate_chunks where length(crate_name) % 3 <> 0), new as (select chunk_id, crate_name, case when length(crate_name) % 4 = 0 then content_hash || 'v2' else content_hash end as content_hash from crate_chunks where length(crate_name) % 5 <> 0), {diff_sql('crate_name')}")
+def reconcile_crates(t: Tables) -> DataFrame:
+    """By a crate's name."""
+    k, n = t.crates().select("chunk_id", "crate_name", "content_hash"), F.length("crate_name")
+    new = k.where(n % 5 != 0).withColumn("content_hash", F.when(n % 4 == 0, F.concat("content_hash", F.lit("v2"))).otherwise(c("content_hash")))
+    return diffed(k.where(n % 3 != 0), new, "crate_name")
+
+
+@query(f"with {CC} select chunk_id, project_name from cc where not (language = 'go' and coalesce(contains(file_path, '/tests/'), false))")
+def delete_by_predicate(t: Tables) -> DataFrame:
+    return rec.delete_where(t.code("project_name", "language", "file_path"), (c("language") == "go") & c("file_path").contains("/tests/")).select("chunk_id", "project_name")
+
+
+@query(f"with {CC}, {EDGES} select chunk_id, identifier from cc where chunk_id not in (select callee from edges)")
+def delete_by_ids(t: Tables) -> DataFrame:
+    return rec.delete_ids(t.code("identifier"), t.edges().select(c("callee").alias("chunk_id")), "chunk_id")
 
 
 # --- summaries -----------------------------------------------------------------------------------

@@ -58,16 +58,28 @@ class Tables:
         return v.where(good).select(F.col("chunk_id").alias("id"), "vector")
 
 
-def check_schema_version(folder: str) -> int:
-    """The version a table folder is stamped with; a fresh folder is stamped now, any other version is refused."""
-    from pathlib import Path
+def _file(spark: SparkSession, path: str):
+    """A path with its file system, whatever that is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file(spark, path)
+    return fs.exists(p)
 
-    mark = Path(folder) / "_schema_version"
-    if not mark.exists():
-        mark.parent.mkdir(parents=True, exist_ok=True)
-        mark.write_text(str(SCHEMA_VERSION))
+
+def check_schema_version(spark: SparkSession, folder: str) -> int:
+    """The version a table folder is stamped with; a fresh folder is stamped now, any other version is refused."""
+    mark, fs = _file(spark, f"{folder}/_schema_version")
+    if not fs.exists(mark):
+        out = fs.create(mark)
+        out.write(bytearray(str(SCHEMA_VERSION), "ascii"))
+        out.close()
         return SCHEMA_VERSION
-    text = mark.read_text().strip()
+    stream = fs.open(mark)
+    text = bytes(stream.readNBytes(64)).decode("utf-8", "replace").strip()
+    stream.close()
     if not text.isdigit() or int(text) != SCHEMA_VERSION:
         raise ValueError(f"{folder} has schema version {text!r}, this library reads {SCHEMA_VERSION}")
     return int(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +13,17 @@ from lodestrata.runtime import ship_package
 from lodestrata.sources import parsers
 
 
-def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, content) of all files that ingestion takes; paths relative to ``root``, bytes that are no UTF-8 replaced."""
+def walk(spark: SparkSession, root: str, sizes: bool = False) -> DataFrame:
+    """(file_path, content) of all files that ingestion takes, or (file_path, n_bytes) without reading them.
+
+    Paths are relative to ``root``; bytes that are no UTF-8 are replaced.
+    """
     ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = root.rstrip("/") + "/"
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + prefix.replace(".", r"\."), "")
-    named = files.select(paths.normalize_path(relative).alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    return named.where(~paths.skipped(F.col("file_path")))
+    body = F.col("length").alias("n_bytes") if sizes else F.make_valid_utf8(F.col("content").cast("string")).alias("content")
+    return files.select(paths.normalize_path(relative).alias("file_path"), body).where(~paths.skipped(F.col("file_path")))
 
 
 def readmes(files: DataFrame) -> DataFrame:
@@ -53,47 +58,65 @@ def module_docs(files: DataFrame) -> DataFrame:
     return named.withColumn("chunk_id", hashing.chunk_id(F.col("file_path"), F.col("doc_content")))
 
 
-CODE_SCHEMA = "file_path string, language string, source string, identifier string, node_type string, code_content string, start_line long, docstring string, signature string, calls array<string>"
+CODE_SCHEMA = "file_path string, language string, content_hash string, identifier string, node_type string, code_content string, start_line long, docstring string, signature string, calls array<string>"
+
+
+def file_hash(source: str, chunks: list) -> str:
+    """As ``hashing.file_hash``: derivation version, source, signature and docstring of each chunk by identifier and line."""
+    parts = [f":sig:{c.signature or ''}:doc:{c.docstring or ''}" for c in sorted(chunks, key=lambda c: (c.identifier, c.start_line))]
+    text = f"derivation:{hashing.DERIVATION_VERSION}:src:" + source.replace("\r\n", "\n") + "".join(parts)
+    return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
 
 
 def code_chunks(files: DataFrame) -> DataFrame:
-    """The chunks of all source files, with the names they call; all chunks of a file share its hash."""
+    """The chunks of all source files, with the names they call; all chunks of a file share its hash.
+
+    One pass: a file's hash is taken where it is parsed, so its text goes no further.
+    """
 
     def parse(batches):
         for b in batches:
             rows = []
             for path, language, content in zip(b.file_path, b.language, b.content):
-                rows += [(path, language, content, c.identifier, c.node_type, c.code_content, c.start_line, c.docstring, c.signature, c.calls) for c in parsers.chunks_of(content, language)]
-            yield pd.DataFrame(rows, columns=["file_path", "language", "source", "identifier", "node_type", "code_content", "start_line", "docstring", "signature", "calls"])
+                found = parsers.chunks_of(content, language)
+                whole = file_hash(content, found) if found else ""
+                rows += [(path, language, whole, c.identifier, c.node_type, c.code_content, c.start_line, c.docstring, c.signature, c.calls) for c in found]
+            yield pd.DataFrame(rows, columns=["file_path", "language", "content_hash", "identifier", "node_type", "code_content", "start_line", "docstring", "signature", "calls"])
 
-    found = files.withColumn("language", paths.language_of(F.col("file_path"))).where("language is not null").select("file_path", "language", "content")
+    found = files.withColumn("language", paths.language_of(F.col("file_path"))).where("language is not null and content is not null").select("file_path", "language", "content")
     parsed = found.mapInPandas(parse, CODE_SCHEMA)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("identifier", "start_line", "signature", "docstring"))), lambda x: F.struct(x["signature"].alias("signature"), x["docstring"].alias("docstring")))
-    hashes = parsed.groupBy("file_path").agg(hashing.file_hash(F.first("source"), parts).alias("content_hash"))
-    named = parsed.drop("source").join(hashes, "file_path")
-    return named.withColumn("project_name", paths.project_name(F.col("file_path"))).withColumn("chunk_id", hashing.chunk_id(F.col("file_path"), F.col("code_content")))
+    return parsed.withColumn("project_name", paths.project_name(F.col("file_path"))).withColumn("chunk_id", hashing.chunk_id(F.col("file_path"), F.col("code_content")))
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(file_path, imported_name, source_path)."""
+    """(file_path, imported_name, source_path, position): position counts a file's imports in their order."""
 
     def parse(batches):
         for b in batches:
-            rows = [(p, *i) for p, language, content in zip(b.file_path, b.language, b.content) for i in parsers.imports_of(content, language)]
-            yield pd.DataFrame(rows, columns=["file_path", "imported_name", "source_path"])
+            rows = [(p, *i, n) for p, language, content in zip(b.file_path, b.language, b.content) for n, i in enumerate(parsers.imports_of(content, language))]
+            yield pd.DataFrame(rows, columns=["file_path", "imported_name", "source_path", "position"])
 
-    found = files.withColumn("language", paths.language_of(F.col("file_path"))).where("language is not null").select("file_path", "language", "content")
-    return found.mapInPandas(parse, "file_path string, imported_name string, source_path string")
+    found = files.withColumn("language", paths.language_of(F.col("file_path"))).where("language is not null and content is not null").select("file_path", "language", "content")
+    return found.mapInPandas(parse, "file_path string, imported_name string, source_path string, position long")
 
 
-CASES_SCHEMA = (
-    "description string, schema_version int, cases array<struct<id string, query string, expected_intent string, expected_files array<string>, expected_identifiers array<string>, "
-    "expected_chunk_types array<string>, expected_projects array<string>, min_relevant_results int, excluded_files array<string>, tags array<string>, notes string>>"
+CASE = (
+    "struct<id string, query string, expected_intent string, expected_files array<string>, expected_identifiers array<string>, "
+    "expected_chunk_types array<string>, expected_projects array<string>, min_relevant_results int, excluded_files array<string>, tags array<string>, notes string>"
 )
+CASES_SCHEMA = f"description string, schema_version int, cases array<{CASE}>"
 
 
-def test_cases(spark: SparkSession, path: str) -> DataFrame:
-    """The cases of a dataset file; missing lists are empty."""
-    cases = spark.read.schema(CASES_SCHEMA).json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
+def _filled(cases: DataFrame) -> DataFrame:
     lists = [k for k, kind in cases.dtypes if kind.startswith("array")]
     return cases.withColumns({k: F.coalesce(k, F.array().cast("array<string>")) for k in lists})
+
+
+def test_cases(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of a dataset file; missing lists are empty."""
+    return _filled(spark.read.schema(CASES_SCHEMA).json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*"))
+
+
+def parsed_cases(texts: DataFrame) -> DataFrame:
+    """The cases of ``texts(json)``, one dataset document a row; missing lists are empty, what is no JSON has no cases."""
+    return _filled(texts.select(F.explode(F.from_json("json", CASES_SCHEMA)["cases"]).alias("c")).select("c.*"))

@@ -5,34 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestrata.operators.reconcile import upsert
+from lodestrata.sources.store import ChunkStore
 
 
-def upsert_stream(incoming: DataFrame, target: str, key: str, checkpoint: str, newest: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Put each micro-batch into a Parquet table by key.
+def upsert_stream(incoming: DataFrame, store: ChunkStore, table: str, checkpoint: str, newest: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Put each micro-batch into a table of the store by key.
 
-    Each batch writes a new version of the table, ``target/v=<batch>``; a batch
-    that runs again after a failure writes the same version again, so the table
-    is the same as if it had run once. Readers take the highest version.
+    A batch rewrites only the buckets that it has rows for. Putting rows in by
+    key twice gives the same table, so a batch that runs again after a failure
+    leaves what it would have left running once.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number == 0:
-            fresh = upsert(batch.limit(0), batch, key, newest)
-        else:
-            fresh = upsert(spark.read.schema(batch.schema).parquet(f"{target}/v={number - 1}"), batch, key, newest)
-        fresh.write.mode("overwrite").parquet(f"{target}/v={number}")
+        store.upsert(table, batch, newest)
 
     writer = incoming.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def current(spark, target: str) -> DataFrame:
-    """The newest version that :func:`upsert_stream` has finished."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(target)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=") and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-    latest = max(versions, key=lambda p: int(p.getName()[2:]))
-    return spark.read.parquet(latest.toString())

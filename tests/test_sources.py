@@ -1,11 +1,15 @@
+from pathlib import Path
+
 import pytest
 
 from lodestrata.api import RetrievalEngine
 from lodestrata.sources import parsers, workspace
 from lodestrata.sources.bundle import read_bundle
 from lodestrata.sources.tables import check_schema_version, newest
-from lodestrata.streaming.reconcile import current, upsert_stream
-from lodestrata.plans.source_queries import FIXTURES
+from lodestrata.sources.store import ChunkStore, check_model, ingest_full, ingest_incremental
+from lodestrata.streaming.reconcile import upsert_stream
+
+FIXTURES = Path(__file__).resolve().parent / "fixtures"
 
 
 def test_workspace(spark):
@@ -29,11 +33,13 @@ def test_parsers_on_broken_text():
     assert parsers.imports_of("from a import b, c as d", "python") == [("b", "a")]
 
 
-def test_schema_version(tmp_path):
-    assert check_schema_version(str(tmp_path / "db")) == 1 == check_schema_version(str(tmp_path / "db"))
+def test_schema_version(spark, tmp_path):
+    assert check_schema_version(spark, str(tmp_path / "db")) == 1 == check_schema_version(spark, str(tmp_path / "db"))
+    (tmp_path / "db" / "_schema_version").unlink()
+    (tmp_path / "db" / "._schema_version.crc").unlink(missing_ok=True)
     (tmp_path / "db" / "_schema_version").write_text("7")
     with pytest.raises(ValueError):
-        check_schema_version(str(tmp_path / "db"))
+        check_schema_version(spark, str(tmp_path / "db"))
 
 
 def test_newest(spark):
@@ -41,13 +47,58 @@ def test_newest(spark):
     assert {(r.k, r.v) for r in newest(df, "k", "t").collect()} == {("a", "y"), ("b", "w")}
 
 
-def test_stream_upserts_in_order(spark, tmp_path):
-    schema = "chunk_id string, n int"
-    for i, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2), ("c", 2)])):
+def rows_of(store, name="code_chunks"):
+    return {(r.chunk_id, r.n) for r in store.read(name).collect()}
+
+
+def test_stream_upserts_touched_buckets_only(spark, tmp_path):
+    schema, store = "chunk_id string, n int", ChunkStore(spark, str(tmp_path / "out"), buckets=16)
+    stored = [(f"k{i}", 0) for i in range(40)]
+    for i, rows in enumerate((stored, [("k1", 1), ("new", 1), (None, 1)], [("k1", 2)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        before = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        upsert_stream(stream, str(tmp_path / "out"), "chunk_id", str(tmp_path / "cp"), "n").awaitTermination()
-    assert {(r.chunk_id, r.n) for r in current(spark, str(tmp_path / "out")).collect()} == {("a", 2), ("b", 1), ("c", 2)}
+        upsert_stream(stream, store, "code_chunks", str(tmp_path / "cp"), "n").awaitTermination()
+        after = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+        assert not i or sum(after[k] != v for k, v in before.items()) <= 2
+    assert rows_of(store) == {("k1", 2), ("new", 1), *((k, 0) for k, _ in stored if k != "k1")}
+
+
+def test_store_upserts_deletes_and_reads_what_is_missing(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "db"), buckets=4)
+    df = lambda rows: spark.createDataFrame(rows, "chunk_id string, n int")
+    assert store.read("code_chunks", df([("a", 1)])).count() == 0
+    store.delete("code_chunks", df([]).chunk_id == "a")
+    store.upsert("code_chunks", df([]))
+    store.upsert("code_chunks", df([("a", 1), ("b", 1), ("b", 1), (None, 9)]))
+    store.upsert("code_chunks", df([("b", 2), ("b", 3)]), newest="n")
+    assert rows_of(store) == {("a", 1), ("b", 3)}
+    store.delete_ids("code_chunks", spark.createDataFrame([("a",), (None,), ("zz",)], "x string"))
+    assert rows_of(store) == {("b", 3)}
+    from pyspark.sql import functions as F
+
+    store.delete("code_chunks", F.col("n") > 2)
+    assert rows_of(store) == set()
+
+
+def test_ingestion_writes_and_guards(spark, tmp_path):
+    schema = "chunk_id string, file_path string, content_hash string, project_name string, searchable_text string, embedding_model_version string"
+    df = lambda rows: spark.createDataFrame([(i, p, h, "x", f"text of {i}", "m1") for i, p, h in rows], schema)
+    store = ChunkStore(spark, str(tmp_path / "db"), buckets=4)
+    first = [("1", "a.rs", "h"), ("2", "a.rs", "h"), ("3", "b.rs", "h"), ("4", "c.rs", "h")]
+    ingest_full(store, {"code_chunks": df(first)})
+    again = ingest_incremental(store, {"code_chunks": df(first)}, model="m1")["code_chunks"]
+    assert {r.status for r in again.collect()} == {"unchanged"}
+    new = [("1", "a.rs", "h2"), ("5", "a.rs", "h2"), ("3", "b.rs", "h"), ("6", "d.rs", "h")]
+    dry = ingest_incremental(store, {"code_chunks": df(new)}, dry_run=True)["code_chunks"]
+    want = {("a.rs", "changed"), ("b.rs", "unchanged"), ("c.rs", "deleted"), ("d.rs", "new")}
+    assert {tuple(r) for r in dry.collect()} == want and {r.chunk_id for r in store.read("code_chunks").collect()} == set("1234")
+    assert {tuple(r) for r in ingest_incremental(store, {"code_chunks": df(new)})["code_chunks"].collect()} == want
+    assert {(r.chunk_id, r.content_hash) for r in store.read("code_chunks").collect()} == {("1", "h2"), ("5", "h2"), ("3", "h"), ("6", "h")}
+    with pytest.raises(ValueError):
+        check_model(store, "code_chunks", "m2")
+    ingest_full(store, {"code_chunks": df([("9", "z.rs", "h")])})
+    assert {r.chunk_id for r in store.read("code_chunks").collect()} == {"9"}
 
 
 def test_engine(spark, tmp_path):
