@@ -50,12 +50,25 @@ def percentile(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {column})")
 
 
+def first_ranks(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(case_id, kind, expected, first): the rank at which an expectation is first met, null if never."""
+    wide = cases.distinct().join(retrieved, "case_id", "left")
+    return wide.groupBy("case_id", "kind", "expected").agg(F.min(F.when(matches(), F.col("rank"))).alias("first"))
+
+
 def case_metrics(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """(case_id, recall_5, recall_10, recall_pool, mrr)."""
-    out = recall(cases, retrieved, 5).withColumnRenamed("recall", "recall_5")
-    out = out.join(recall(cases, retrieved, 10).withColumnRenamed("recall", "recall_10"), "case_id")
-    out = out.join(recall(cases, retrieved, None).withColumnRenamed("recall", "recall_pool"), "case_id")
-    return out.join(reciprocal_rank(cases, retrieved), "case_id")
+    """(case_id, recall_5, recall_10, recall_pool, mrr), all from one pass over what was retrieved."""
+    first = first_ranks(cases.where(F.col("kind").isin("file", "identifier")), retrieved)
+    share = lambda met: F.avg(F.coalesce(met, F.lit(False)).cast("double"))
+    return first.groupBy("case_id").agg(
+        share(F.col("first") <= 5).alias("recall_5"), share(F.col("first") <= 10).alias("recall_10"), share(F.col("first").isNotNull()).alias("recall_pool"), F.coalesce(1.0 / F.min("first"), F.lit(0.0)).alias("mrr")
+    )
+
+
+def enough_relevant(wanted: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
+    """(case_id, relevant_count, enough): ``wanted(case_id, min_relevant_results)``; rows of the first k with a relevance above one half. Without a wish any number is enough."""
+    counts = wanted.join(relevant_counts(retrieved, k), "case_id", "left").withColumn("relevant_count", F.coalesce("relevant_count", F.lit(0)))
+    return counts.select("case_id", "relevant_count", (F.col("relevant_count") >= F.coalesce("min_relevant_results", F.lit(0))).alias("enough"))
 
 
 def never_found(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -72,9 +85,15 @@ def slow(latencies: DataFrame, factor: float = 5.0) -> DataFrame:
     return latencies.where(F.col("ms") > factor * row.high)
 
 
-def invalid_cases(cases: DataFrame, intents: list[str]) -> DataFrame:
-    """(case_id, problem) of a dataset's ``(case_id, expected_intent)``: empty or repeated ids, unknown intents."""
+def invalid_cases(cases: DataFrame, intents: list[str], strict: bool = False) -> DataFrame:
+    """(case_id, problem) of a dataset's ``(case_id, expected_intent)``: empty or repeated ids, unknown intents.
+
+    strict: cases whose ``kinds`` (how many expectations they have) is 0 are a problem too.
+    """
     empty = cases.where(F.coalesce(F.trim("case_id"), F.lit("")) == "").select("case_id", F.lit("empty id").alias("problem"))
     twice = cases.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id", F.lit("repeated id").alias("problem"))
     bad = cases.where(F.col("expected_intent").isNotNull() & ~F.col("expected_intent").isin(intents)).select("case_id", F.lit("unknown intent").alias("problem"))
-    return empty.unionByName(twice).unionByName(bad).distinct()
+    found = empty.unionByName(twice).unionByName(bad)
+    if strict:
+        found = found.unionByName(cases.where("kinds = 0").select("case_id", F.lit("no expectation").alias("problem")))
+    return found.distinct()

@@ -14,7 +14,7 @@ from lodestrata.operators import fusion, intent
 from lodestrata.operators.fulltext import Corpus, Index, write_index
 from lodestrata.operators.intent import TYPES
 from lodestrata.operators.vectors import knn_batch
-from lodestrata.plans import chunk_types, structure_queries
+from lodestrata.plans import chunk_types, harness, structure_queries
 from lodestrata.plans.retrieve import EngineConfig, Retrieved, retrieve
 from lodestrata.plans.scalar_queries import CRATE_TEXT, comparator_sql, target_sql
 from lodestrata.plans.search_queries import BM, by_100, docs, renamed, show, text_queries
@@ -338,6 +338,18 @@ def _register_intents() -> None:
 _register_intents()
 
 
+@query(f"""{pipeline_sql(False, None)}, e as (select q.query_id as case_id, file_path as f, identifier as i from q join cc on chunk_id = q.query_id),
+    w as (select case_id, 'file' as kind, f as expected from e union all select case_id, 'identifier', i from e),
+    fr as (select w.case_id, kind, expected, min(rank) filter (case kind when 'file' then contains(file_path, expected) else coalesce(identifier = expected, false) end) as first from w left join flat on flat.query_id = w.case_id group by all)
+    select case_id, round(avg(coalesce(first <= 5, false)::int::double), 6) as recall_5, round(avg(coalesce(first <= 10, false)::int::double), 6) as recall_10, round(avg((first is not null)::int::double), 6) as recall_pool, round(coalesce(1.0::double / min(first), 0), 6) as mrr from fr group by case_id""")
+def harness_run(t: Tables) -> DataFrame:
+    """The harness over the pipeline: each question expects the chunk that it is about."""
+    about = t.code("file_path", "identifier").withColumnRenamed("chunk_id", "id")
+    none = F.array().cast("array<string>")
+    cases = questions(t).withColumnRenamed("query_id", "id").join(about, "id").select("id", "query", F.lit(None).cast("string").alias("expected_intent"), F.array("file_path").alias("expected_files"), F.array("identifier").alias("expected_identifiers"), *[none.alias(x) for x in ("expected_chunk_types", "expected_projects", "excluded_files")])
+    return harness.run(t, cases).metrics.select("case_id", *[F.round(m, 6).alias(m) for m in harness.MEANS])
+
+
 SECTION = " ".join(f"when '{k}' then {n}" for n, k in enumerate(chunk_types.SECTIONS))
 HEADING = " ".join(f"when '{k}' then '{h}'" for k, h in chunk_types.SECTIONS.items())
 CONTEXT = f"""parts as (select query_id, case chunk_type {SECTION} end as n, case chunk_type {HEADING} end || chr(10) || string_agg(ctx, '' order by pos) as part from every group by query_id, chunk_type),

@@ -50,7 +50,8 @@ def by_intent(values: dict) -> Column:
 def classified(questions: DataFrame, embed: Callable[[Column], Column], options: dict | None = None) -> DataFrame:
     """(query_id, query, vector, intent): the intent a question comes with, else that of its wording, else of its nearest prototypes."""
     given = F.col("intent") if "intent" in questions.columns else F.lit(None).cast("string")
-    q = questions.select("query_id", "query", given.alias("given"), embed(F.col("query")).alias("vector"))
+    # written once: the batch may be the result of something that gives other rows when it runs again
+    q = cut_lineage(questions.select("query_id", "query", given.alias("given"), embed(F.col("query")).alias("vector")))
     spark = questions.sparkSession
     protos = intent.prototypes(spark).select(F.concat_ws("#", "intent", F.lpad(F.col("position").cast("string"), 2, "0")).alias("proto_id"), "intent", embed(F.col("text")).alias("proto"))
     near = intent.classify(intent.similarities(q, protos), **(options or {})).select("query_id", F.col("intent").alias("near"))

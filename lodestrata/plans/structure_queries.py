@@ -565,6 +565,12 @@ def harness_query_report(t: Tables) -> DataFrame:
     return retrieved(t).groupBy("case_id").agg(listed.alias("top_results"), F.count_if(c("relevance") > 0.5).alias("relevant_count"))
 
 
+@query(f"{EV}, n as (select case_id, count(*) filter (relevance > 0.5) as relevant_count from retrieved where rank <= 10 group by case_id) select chunk_id as case_id, coalesce(relevant_count, 0) as relevant_count, coalesce(relevant_count, 0) >= coalesce(case when node_type = 'impl_item' then 2 end, 0) as enough from q left join n on case_id = chunk_id")
+def harness_min_relevant(t: Tables) -> DataFrame:
+    wanted = t.code("node_type").where(by_100("chunk_id")).select(c("chunk_id").alias("case_id"), F.when(c("node_type") == "impl_item", 2).alias("min_relevant_results"))
+    return ev.enough_relevant(wanted, retrieved(t), 10)
+
+
 LAT = "lat as (select event_id as id, abs(value) as ms from events)"
 
 

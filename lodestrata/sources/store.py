@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestrata.operators import reconcile as rec
 from lodestrata.operators.fulltext import write_index
 from lodestrata.runtime import cut_lineage
-from lodestrata.sources.tables import check_schema_version, exists
+from lodestrata.sources.tables import check_schema_version, exists, read_text, write_text
 
 BUCKET = "__bucket"
 
@@ -42,12 +44,22 @@ class ChunkStore:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _schema(self, name: str) -> str:
+        return f"{self.folder}/_schemas/{name}.json"
+
     def exists(self, name: str) -> bool:
-        return exists(self.spark, f"{self.path(name)}/_SUCCESS")
+        return exists(self.spark, self._schema(name))
+
+    def _stored(self, name: str) -> DataFrame:
+        """The table with its buckets; the schema is that of the first rows, so an emptied table has one too."""
+        schema = StructType.fromJson(json.loads(read_text(self.spark, self._schema(name))))
+        if not exists(self.spark, self.path(name)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
         if self.exists(name):
-            return self.spark.read.parquet(self.path(name)).drop(BUCKET)
+            return self._stored(name).drop(BUCKET)
         if like is None:
             raise FileNotFoundError(self.path(name))
         return like.limit(0)
@@ -67,17 +79,21 @@ class ChunkStore:
         if not touched:
             return
         if self.exists(name):
-            stored = self.spark.read.parquet(self.path(name)).where(F.col(BUCKET).isin(touched))
+            stored = self._stored(name).where(F.col(BUCKET).isin(touched))
             fresh = rec.upsert(stored.select(fresh.columns), fresh, key, newest)
         else:
             fresh = rec.upsert(fresh.limit(0), fresh, key, newest)
-        self._replace(name, cut_lineage(fresh))
+        fresh = cut_lineage(fresh)
+        self._replace(name, fresh)
+        if not self.exists(name):
+            kept = [c for c in fresh.columns if c != BUCKET]
+            write_text(self.spark, self._schema(name), fresh.select(*kept, BUCKET).schema.json())
 
     def delete(self, name: str, condition: Column) -> None:
         """Rows for which the condition is true go; a table that isn't there has none."""
         if not self.exists(name):
             return
-        stored = self.spark.read.parquet(self.path(name))
+        stored = self._stored(name)
         hit = F.coalesce(condition, F.lit(False))
         touched = [r[0] for r in stored.where(hit).select(BUCKET).distinct().collect()]
         self._keep(name, stored.where(F.col(BUCKET).isin(touched)), lambda d: d.where(~hit), touched)
@@ -89,7 +105,7 @@ class ChunkStore:
         key = SPECS[name].key
         gone = cut_lineage(ids.toDF(key).where(F.col(key).isNotNull()).distinct().withColumn(BUCKET, self._bucket(name)))
         touched = [r[0] for r in gone.select(BUCKET).distinct().collect()]
-        stored = self.spark.read.parquet(self.path(name)).where(F.col(BUCKET).isin(touched))
+        stored = self._stored(name).where(F.col(BUCKET).isin(touched))
         self._keep(name, stored, lambda d: d.join(gone.select(key), key, "left_anti").select(d.columns), touched)
 
     def _keep(self, name: str, stored: DataFrame, what, touched: list[int]) -> None:

@@ -69,17 +69,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = _file(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _file(spark, path)
+    stream = fs.open(p)
+    raw = bytes(stream.readAllBytes())
+    stream.close()
+    return raw.decode("utf-8", "replace")
+
+
 def check_schema_version(spark: SparkSession, folder: str) -> int:
     """The version a table folder is stamped with; a fresh folder is stamped now, any other version is refused."""
-    mark, fs = _file(spark, f"{folder}/_schema_version")
-    if not fs.exists(mark):
-        out = fs.create(mark)
-        out.write(bytearray(str(SCHEMA_VERSION), "ascii"))
-        out.close()
+    mark = f"{folder}/_schema_version"
+    if not exists(spark, mark):
+        write_text(spark, mark, str(SCHEMA_VERSION))
         return SCHEMA_VERSION
-    stream = fs.open(mark)
-    text = bytes(stream.readNBytes(64)).decode("utf-8", "replace").strip()
-    stream.close()
+    text = read_text(spark, mark).strip()
     if not text.isdigit() or int(text) != SCHEMA_VERSION:
         raise ValueError(f"{folder} has schema version {text!r}, this library reads {SCHEMA_VERSION}")
     return int(text)

@@ -67,7 +67,7 @@ def test_reserve_lifts_graph_rows_over_the_weakest(spark):
 def test_edge_tiers(spark):
     chunks = spark.createDataFrame([("1", "main", "a.rs"), ("2", "f", "a.rs"), ("3", "f", "b.rs"), ("4", "g", "b.rs"), ("5", "g", "x/util.rs"), ("6", "h", "c.rs"), ("7", "k", "b.rs"), ("8", "k", "c.rs")], "chunk_id string, identifier string, file_path string")
     calls = spark.createDataFrame([("1", n) for n in ("f", "g", "h", "k", "main", "none")], "caller string, callee_identifier string")
-    imports = spark.createDataFrame([("a.rs", "g", "super::super::util"), ("a.rs", "k", "nowhere")], "file_path string, imported_name string, source_path string")
+    imports = spark.createDataFrame([("a.rs", "g", "zz::nowhere", 0), ("a.rs", "g", "super::super::util", 1), ("a.rs", "k", "nowhere", 2)], "file_path string, imported_name string, source_path string, position long")
     assert {(r.callee_identifier, r.callee, r.tier) for r in edges.resolve(chunks, calls, imports).collect()} == {("f", "2", 1), ("g", "5", 2), ("h", "6", 3)}
 
 
