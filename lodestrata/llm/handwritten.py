@@ -305,6 +305,7 @@ def not_handwritten(chunks: DataFrame, path_col: str, text_col: str, attributes:
         said = declared(files, attributes.select(own.alias("project"), normal_path(F.col("path")).alias("path"), "content"))
         files = files.join(said, ["project", "path"], "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("yes", "no")})
         files = files.select("project", "path", F.col("evidence").bitwiseAND(F.bitwise_not("no")).bitwiseOR(F.col("yes")).alias("evidence"), "no")
+        files = cut_lineage(files)
     else:
         files = files.withColumn("no", F.lit(0))
     judged = files.withColumn("kinds", F.col("evidence"))
