@@ -72,7 +72,7 @@ def module_files(t: Tables) -> DataFrame:
     return d.select("file_path", body.alias("content"))
 
 
-@query("""with f as (select coalesce(source, 'unknown') || '/' || doc_id || '/lib.rs' as file_path, doc_id::varchar as module_name, trim(text) as doc_content, coalesce(source, 'unknown') as project_name from documents where doc_kind = 'module_doc' and text is not null and doc_id is not null)
+@query("""with f as (select coalesce(source, 'unknown') || '/' || doc_id || '/lib.rs' as file_path, doc_id::varchar as module_name, trim(text, ' ') as doc_content, coalesce(source, 'unknown') as project_name from documents where doc_kind = 'module_doc' and text is not null and doc_id is not null)
     select *, """ + sha("file_path", "doc_content") + """ as chunk_id from f where doc_content <> ''""")
 def src_module_doc(t: Tables) -> DataFrame:
     return workspace.module_docs(module_files(t))
