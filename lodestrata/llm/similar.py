@@ -512,7 +512,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors, without a threshold, for the ids divisible by 100, over all rows."""
     by_100 = F.pmod(F.conv(F.substring("id", -12, 12), 16, 10).cast("long"), F.lit(100)) == 0
-    return similar_vectors(read(spark, sf_dir, "code_embeddings"), "chunk_id", FIELDS, SimilarityParams(nprobe=0.7, refine=8), queries=by_100).withColumn("similarity", F.round("similarity", 6))
+    return similar_vectors(read(spark, sf_dir, "code_embeddings"), "chunk_id", FIELDS, SimilarityParams(nprobe=0.25, refine=8), queries=by_100).withColumn("similarity", F.round("similarity", 6))
 
 
 #: brute force, for small tables
