@@ -33,7 +33,7 @@ DOCTYPE = re.compile(r"<!DOCTYPE[^>]*>|<\?xml.*?\?>", re.I | re.S)
 
 
 def tidy(text: str) -> str:
-    return re.sub(r"\s+", " ", text.replace(" ", " ").replace("​", "")).strip()
+    return " ".join(text.replace(" ", " ").replace("​", "").split())
 
 
 # --- text within a block -----------------------------------------------------------------------
@@ -67,6 +67,8 @@ def strip_tags(text: str) -> str:
 
 
 def html_inline(text: str) -> str:
+    if "<" not in text and "&" not in text:
+        return tidy(text)
     return tidy(html.unescape(strip_tags(text)))
 
 
@@ -74,29 +76,46 @@ LINK = r"\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]"
 TARGET = r"\(\s*(?:<[^<>\n]*>|(?:[^\s()\\]|\\.|\([^\s()]*\))*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)"
 
 
+#: without one of these a text has no inline marks of any language but LaTeX
+MARKED = re.compile(r"[`\\<>\[\]!*_~&'{}]")
+
+
 def markdown_inline(text: str) -> str:
+    if not MARKED.search(text):
+        return tidy(text)
     held = Held()
-    text = re.sub(r"(?<![`\\])(`+)(?!`)(.+?)(?<!`)\1(?!`)", lambda m: held.put(m.group(2).strip() if m.group(2).strip() else m.group(2)), text, flags=re.S)
-    text = re.sub(r"\\([!-/:-@\[-`{-~])", lambda m: held.put(m.group(1)), text)
-    text = re.sub(r"<((?:https?|ftp|mailto):[^\s<>]*)>", lambda m: held.put(m.group(1)), text)
-    text = re.sub(r"\[\s*!" + LINK + r"(?:" + TARGET + r"|\[[^\[\]]*\])\s*\](?:" + TARGET + r"|\[[^\[\]]*\])?", "", text)
-    text = re.sub(r"!" + LINK + r"(?:" + TARGET + r"|\[[^\[\]]*\])", "", text)
-    for _ in range(3):
-        text, n = re.subn(r"(?<!!)" + LINK + r"(?:" + TARGET + r"|\[[^\[\]]*\])", r"\1", text)
-        if not n:
-            break
-    text = re.sub(r"\[\^[^\[\]\s]+\]", "", text)
-    text = strip_tags(text)
-    for mark in (r"\*\*\*", r"\*\*", r"\*"):
-        text = re.sub(r"(?<!\*)" + mark + r"(?=[^\s*])(.+?)(?<=[^\s*])" + mark + r"(?!\*)", r"\1", text, flags=re.S)
-    for mark in ("___", "__", "_"):
-        text = re.sub(r"(?<![\w_])" + mark + r"(?=[^\s_])(.+?)(?<=[^\s_])" + mark + r"(?![\w_])", r"\1", text, flags=re.S)
-    text = re.sub(r"~~(?=\S)(.+?)(?<=\S)~~", r"\1", text, flags=re.S)
+    if "`" in text:
+        text = re.sub(r"(?<![`\\])(`+)(?!`)(.+?)(?<!`)\1(?!`)", lambda m: held.put(m.group(2).strip() if m.group(2).strip() else m.group(2)), text, flags=re.S)
+    if "\\" in text:
+        text = re.sub(r"\\([!-/:-@\[-`{-~])", lambda m: held.put(m.group(1)), text)
+    if "<" in text:
+        text = re.sub(r"<((?:https?|ftp|mailto):[^\s<>]*)>", lambda m: held.put(m.group(1)), text)
+    if "[" in text:
+        if "!" in text:
+            text = re.sub(r"\[\s*!" + LINK + r"(?:" + TARGET + r"|\[[^\[\]]*\])\s*\](?:" + TARGET + r"|\[[^\[\]]*\])?", "", text)
+            text = re.sub(r"!" + LINK + r"(?:" + TARGET + r"|\[[^\[\]]*\])", "", text)
+        for _ in range(3):
+            text, n = re.subn(r"(?<!!)" + LINK + r"(?:" + TARGET + r"|\[[^\[\]]*\])", r"\1", text)
+            if not n:
+                break
+        text = re.sub(r"\[\^[^\[\]\s]+\]", "", text)
+    if "<" in text:
+        text = strip_tags(text)
+    if "*" in text:
+        for mark in (r"\*\*\*", r"\*\*", r"\*"):
+            text = re.sub(r"(?<!\*)" + mark + r"(?=[^\s*])(.+?)(?<=[^\s*])" + mark + r"(?!\*)", r"\1", text, flags=re.S)
+    if "_" in text:
+        for mark in ("___", "__", "_"):
+            text = re.sub(r"(?<![\w_])" + mark + r"(?=[^\s_])(.+?)(?<=[^\s_])" + mark + r"(?![\w_])", r"\1", text, flags=re.S)
+    if "~~" in text:
+        text = re.sub(r"~~(?=\S)(.+?)(?<=\S)~~", r"\1", text, flags=re.S)
     return tidy(held.back(wiki_links(html.unescape(text), held)))
 
 
 def wiki_links(text: str, held: Held) -> str:
     """Wiki syntax that means nothing else anywhere."""
+    if "[" not in text and "''" not in text:
+        return text
     text = re.sub(r"\[\[\s*:?(?:Category|File|Image|Media|Kategorie|Datei|Fichier|Archivo|Categoría|Catégorie)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\]|\[[^\[\]]*\])*\]\]", "", text, flags=re.I)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]+)\|?\]\]", r"\1", text)
     text = re.sub(r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]+\s+([^\[\]]+)\]", r"\1", text)
@@ -105,6 +124,8 @@ def wiki_links(text: str, held: Held) -> str:
 
 
 def wiki_inline(text: str) -> str:
+    if not MARKED.search(text):
+        return tidy(text)
     held = Held()
     text = re.sub(r"<nowiki>(.*?)</nowiki>", lambda m: held.put(m.group(1)), text, flags=re.S | re.I)
     text = COMMENT.sub("", text)
@@ -156,12 +177,22 @@ def optional(text: str, at: int) -> int:
     return at
 
 
+COMMAND = re.compile(r"\\([A-Za-z]+)\*?|\\(.)", re.S)
+ACCENTED = re.compile(r"\s*(\\[ij]\b|\w)")
+RUN = re.compile(r"[^\\%{}~\-`'$]+")
+
+
 def latex_text(text: str) -> str:
     out, i = [], 0
     while i < len(text):
+        run = RUN.match(text, i)
+        if run:
+            out.append(run.group())
+            i = run.end()
+            continue
         c = text[i]
         if c == "\\":
-            m = re.compile(r"\\([A-Za-z]+)\*?|\\(.)", re.S).match(text, i)
+            m = COMMAND.match(text, i)
             if not m:
                 i += 1
                 continue
@@ -169,7 +200,7 @@ def latex_text(text: str) -> str:
             if name in ACCENTS and (m.group(2) or re.match(r"\s*\{|\s+\w", text[i:])) and re.match(r"\s*(?:\{|\\?\w)", text[i:]) and name not in ("=", "."):
                 inner, end = braced(text, i)
                 if end == i:
-                    k = re.compile(r"\s*(\\[ij]\b|\w)").match(text, i)
+                    k = ACCENTED.match(text, i)
                     inner, end = k.group(1), k.end()
                 base = {"\\i": "i", "\\j": "j"}.get(inner.strip(), latex_text(inner) or " ")
                 base = {"ı": "i", "ȷ": "j"}.get(base, base)
