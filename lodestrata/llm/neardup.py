@@ -408,5 +408,13 @@ o as (select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b, count(*) as sha
 select chunk_id_a, chunk_id_b from o join n x on x.chunk_id = chunk_id_a join n y on y.chunk_id = chunk_id_b where shared >= 0.7 * (x.n + y.n - shared)
 """
 
+#: the same pairs, both ways, and all that can be reached over them
+P3_GROUPS_SQL = (
+    "with recursive pairs as (" + P3_SQL + """), e as (select chunk_id_a as a, chunk_id_b as b from pairs union all select chunk_id_b, chunk_id_a from pairs),
+walk(id, other) as (select a, a from e union select walk.id, e.b from walk join e on e.a = walk.other),
+named as (select id, min(other) as group_id from walk group by id)
+select id, group_id, links from named join (select a as id, count(*) as links from e group by a) using (id)"""
+)
+
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
-ORACLES = {"p3_found": P3_SQL}
+ORACLES = {"p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL}
