@@ -421,7 +421,11 @@ class VectorIndex:
                         h2 = batch.column(f"h{i}_1").to_numpy()[r]
                         yield from route(x[at : at + step], h1, h2, asking[r], m, p)
 
-        pairs = src.mapInArrow(index, UNIT_SCHEMA).groupBy("unit").applyInArrow(lambda t: scan_unit(t, starts, models, p), PAIR_SCHEMA)
+        # a task holds few units at any size of the collection
+        routed, tasks = src.mapInArrow(index, UNIT_SCHEMA), -(-starts[-1] // 4)
+        if tasks > shuffle_partitions(self.df.sparkSession):
+            routed = routed.repartition(tasks, "unit")
+        pairs = routed.groupBy("unit").applyInArrow(lambda t: scan_unit(t, starts, models, p), PAIR_SCHEMA)
         number = sum((F.when(F.col("unit") >= at, 1).otherwise(0) for at in starts[1:-1]), F.lit(0))
         return pairs.select(number.cast("int").alias("f"), "a1", "a2", "b1", "b2", "similarity")
 
