@@ -7,6 +7,8 @@ rerank scores are those of the stand-ins that need no model, so SQL has them too
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from lodestrata.plans.seams import term_vector
 from lodestrata.plans.sql import BY_100, CC, EDGES, RC, bm25, cut, searchable, tokens
 from lodestrata.runtime import shared_folder
 from lodestrata.sources.bundle import Bundle, frequencies, read_bundle, write_bundle
+from lodestrata.sources.store import SPECS, ChunkStore
 from lodestrata.sources.tables import Tables
 
 QUERIES: dict = {}
@@ -213,6 +216,40 @@ def bundle_search(t: Tables) -> DataFrame:
     return show(found.topk(found.docs.where(by_100("id")).select(c("id").alias("query_id"), c("text").alias("query")), 10))
 
 
+@query(f"{SIX} " + " union all ".join(f"select '{k}' as chunk_type, id, rr as text from t_{k}" for k in TYPES))
+def rerank_texts(t: Tables) -> DataFrame:
+    """What a reranker reads, of all six types."""
+    parts = [d.select(F.lit(k).alias("chunk_type"), "id", c("rerank_text").alias("text")) for k, d in chunk_types.all_chunks(t).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"{SIX} " + " union all ".join(f"select '{k}' as chunk_type, id, emb as text from t_{k}" for k in TYPES[1:]))
+def embed_texts(t: Tables) -> DataFrame:
+    """What an embedder reads, of all types but code, which ``embed_text`` has."""
+    parts = [d.select(F.lit(k).alias("chunk_type"), "id", c("embed_text").alias("text")) for k, d in chunk_types.all_chunks(t).items() if k != "code"]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def storable(t: Tables) -> dict[str, DataFrame]:
+    """The rows of all seven tables, by the store's names."""
+    return {
+        "code_chunks": t.code("file_path", "content_hash", "project_name"), "readme_chunks": t.readme("file_path", "content_hash", "project_name"), "crate_chunks": t.crates(), "module_doc_chunks": chunk_types.module_docs(t),
+        "folder_chunks": chunk_types.folders(t), "file_chunks": chunk_types.files(t), "call_edges": t.edges(),
+    }
+
+
+@query(f"with {CC}, {RC}, {EDGES}, {MODULE_DOCS}, {FOLDERS}, {FILES} " + " union all ".join(f"select '{name}' as name, count(*) as \"rows\", count(distinct project_name) as projects from {rel}" for name, rel in (("code_chunks", "cc"), ("readme_chunks", "rc"), ("crate_chunks", "crate_chunks"), ("module_doc_chunks", "md"), ("folder_chunks", "fo"), ("file_chunks", "fi"), ("call_edges", "edges"))))
+def store_upserts(t: Tables) -> DataFrame:
+    """Each of the seven tables is written in two overlapping steps, then read back and counted."""
+    store = ChunkStore(t.spark, shared_folder(t.spark, "store"), buckets=4)
+    counts = []
+    for name, rows in storable(t).items():
+        store.upsert(name, rows.where(F.pmod(F.xxhash64(SPECS[name].key), F.lit(3)) < 2))
+        store.upsert(name, rows)
+        counts.append(store.read(name).agg(F.count("*").alias("rows"), F.countDistinct("project_name").alias("projects")).select(F.lit(name).alias("name"), "rows", "projects"))
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- the pipeline -------------------------------------------------------------------------------------
 
 PROTOS = "protos as (select * from (values " + ", ".join(f"('{i}#{n:02d}', '{i}', '{x}')" for i, xs in intent.PROTOTYPES.items() for n, x in enumerate(xs)) + ") v(proto_id, intent, text))"
