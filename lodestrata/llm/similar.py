@@ -36,7 +36,7 @@ class SimilarityParams:
     min_similarity: where given, only neighbours at least this similar count;
     the quantisation error of each member then bounds which may be skipped, so
     the codes lose nothing. nprobe: lists a query scans, or, as a float, their share of all. refine: without
-    min_similarity, refine * k members a list are reranked.
+    min_similarity, refine * k members a unit are reranked for each query.
     train_rows: bound of the sample that centroids and codebooks are fitted on;
     least_train of it are always taken, beyond that four for each list.
     max_lists: bound of the lists, reached at about a thousand million rows.
@@ -301,7 +301,7 @@ def scan_unit(table: pa.Table, starts: list[int], models: list[FieldModel], p: S
     err = table.column("err").to_numpy()
     codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, p.subvectors)
     owned = np.flatnonzero(home >= 0)
-    found_q, found_m = [], []
+    found_q, found_m, found_near = [], [], []
     d = p.dim // p.subvectors
     order = np.argsort(ask_list, kind="stable")
     for lst in np.unique(ask_list):
@@ -324,9 +324,16 @@ def scan_unit(table: pa.Table, starts: list[int], models: list[FieldModel], p: S
             keep = q[a] != members[b]
             found_q.append(q[a[keep]])
             found_m.append(members[b[keep]])
+            found_near.append(approx[a[keep], b[keep]])
     if not found_q:
         return PAIR_ARROW.empty_table()
     q, m = np.concatenate(found_q), np.concatenate(found_m)
+    if p.min_similarity is None:
+        # of all lists of the unit together, the nearest by their codes go on
+        order = np.lexsort((-np.concatenate(found_near), q))
+        q, m = q[order], m[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < p.refine * p.k
+        q, m = q[keep], m[keep]
     z = v.astype(np.float64)
     z /= np.linalg.norm(z / np.abs(z).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(z).max(axis=1, keepdims=True)
     sim = np.empty(len(q))
