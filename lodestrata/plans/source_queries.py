@@ -78,10 +78,19 @@ def src_module_doc(t: Tables) -> DataFrame:
     return workspace.module_docs(module_files(t))
 
 
+#: how each language imports a name
+IMPORTS = {"rust": ("use crate::util::", ";"), "python": ("from util import ", ""), "typescript": ("import { ", ' } from "./util";'), "go": ('import "util/', '"')}
+
+
 def source_files(t: Tables) -> DataFrame:
-    """Source files: the code of a file's chunks by line, joined by blank lines."""
-    code = t.code("file_path", "start_line", "code_content").groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", "code_content"))).alias("parts"))
-    return code.select("file_path", F.array_join(F.transform("parts", lambda p: p["code_content"]), "\n\n").alias("content"))
+    """Source files: an import of the file's first name, then the code of its chunks by line, joined by blank lines."""
+    code = t.code("file_path", "start_line", "code_content", "identifier", "language").groupBy("file_path").agg(
+        F.min("language").alias("language"), F.min("identifier").alias("name"), F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", "code_content"))).alias("parts")
+    )
+    head = F.lit("")
+    for language, (before, after) in IMPORTS.items():
+        head = F.when(c("language") == language, F.concat(F.lit(before), "name", F.lit(after))).otherwise(head)
+    return code.select("file_path", F.concat(head, F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["code_content"]), "\n\n")).alias("content"))
 
 
 @query()
