@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.text import tokenize
+from lodestrata.runtime import ship_package
 
 K1, B = 1.2, 0.75
+CELL_DOCS, CELL_QUERIES, AT_ONCE = 8192, 4096, 64
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -44,6 +50,95 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def score_cell(t: pa.Table, average: float, k: int | None, number: bool) -> Iterator[tuple[list, list]]:
+    """Scores of the documents of a cell for its queries, some queries at a time: (query keys, for each (document keys, scores)).
+
+    Rows: asks, key, terms, values, doc_len. A query has its terms' weights as
+    values, a document their frequencies, or null where each term stands as
+    often as it is listed. A document may be spread over rows. With k the best
+    k of each query are left; ties go to the smaller id (number: ids are numbers).
+    """
+    q, d = t.filter(t.column("asks")), t.filter(pc.invert(t.column("asks")))
+    if not len(q) or not len(d):
+        return
+    column = lambda x, name: x.column(name).combine_chunks()
+    wanted = column(q, "terms").flatten().dictionary_encode()
+    q_term, weight = wanted.indices.to_numpy(), column(q, "values").flatten().to_numpy()
+    q_at = np.concatenate(([0], np.cumsum(pc.list_value_length(column(q, "terms")).to_numpy())))
+    keys = pc.dictionary_encode(column(d, "key"), null_encoding="encode")
+    ids, of_row = keys.dictionary, keys.indices.to_numpy()
+    n = len(ids)
+    place = np.empty(n, np.int64)  # of each id among all
+    place[pc.sort_indices(pc.cast(ids, pa.int64()) if number else ids).to_numpy()] = np.arange(n)
+
+    listed = pc.list_value_length(column(d, "terms")).to_numpy()
+    term = pc.fill_null(pc.index_in(column(d, "terms").flatten(), value_set=wanted.dictionary), -1).to_numpy()
+    known = np.flatnonzero(term >= 0)
+    spot, back = np.unique(term[known].astype(np.int64) * n + np.repeat(of_row, listed)[known], return_inverse=True)
+    counted = d.column("values").null_count == len(d)
+    tf = np.bincount(back, weights=None if counted else column(d, "values").flatten().to_numpy()[known], minlength=len(spot)).astype(float)
+    length = np.ones(n)
+    length[of_row] = listed if counted else column(d, "doc_len").to_numpy()
+    doc = spot % n
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length[doc] / average if average > 0 else 1.0)))
+    begin = np.searchsorted(spot // n, np.arange(len(wanted.dictionary) + 1))
+
+    for at in range(0, len(q), AT_ONCE):
+        found = []
+        for i in range(at, min(at + AT_ONCE, len(q))):
+            score = np.zeros(n)
+            for j in range(q_at[i], q_at[i + 1]):
+                own = slice(begin[q_term[j]], begin[q_term[j] + 1])
+                score[doc[own]] += weight[j] * part[own]
+            hits = np.flatnonzero(score)
+            if k is not None:
+                if k < len(hits):
+                    # all documents as good as the k-th, however many there are; ids settle ties
+                    last = np.partition(score[hits], len(hits) - k)[len(hits) - k]
+                    hits = hits[score[hits] >= last - 1e-8]
+                hits = hits[np.lexsort((place[hits], -np.round(score[hits], 9)))[:k]]
+            found.append((ids.take(pa.array(hits)), score[hits]))
+        yield column(q, "key")[at : at + AT_ONCE], found
+
+
+def search(queries: DataFrame, docs: DataFrame, n_docs: int, average: float, k: int | None, asked: int | None = None) -> DataFrame:
+    """(query_id, id, score) of the documents that share a term with a query; with k, of each query the best k at least.
+
+    ``queries``: (query_id, terms, values), ``docs``: (id, terms, values,
+    doc_len), as in :func:`score_cell`. Both sides are cut into blocks and a
+    cell scores one block of each, so the scores, of which there are as many as
+    pairs, are never shuffled. asked: how many queries there are at most, where
+    that is known.
+    """
+    ship_package(queries.sparkSession)
+    b_d, b_q = max(1, -(-n_docs // CELL_DOCS)), max(1, -(-(queries.count() if asked is None else asked) // CELL_QUERIES))
+    cell = (F.col("a") * F.lit(b_q) + F.col("b")).cast("long").alias("cell")
+    own = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    row = lambda asks, key, length: [F.lit(asks).alias("asks"), F.col(key).cast("string").alias("key"), F.col("terms"), F.col("values").cast("array<double>").alias("values"), length.cast("long").alias("doc_len")]
+    left = docs.select(*row(False, "id", F.col("doc_len")), own("id", b_d).alias("a"), every(b_q).alias("b"))
+    right = queries.select(*row(True, "query_id", F.lit(None)), own("query_id", b_q).alias("b"), every(b_d).alias("a"))
+    both = left.unionByName(right).select("asks", "key", "terms", "values", "doc_len", cell)
+    number = dict(docs.dtypes)["id"] != "string"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asking, found in score_cell(pa.Table.from_batches(list(batches)), average, k, number):
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x, _ in found]))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([x for x, _ in found])), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x for _, x in found])))]
+            yield pa.RecordBatch.from_arrays([asking, *lists], names=["q", "r", "score"])
+
+    found = both.groupBy("cell").applyInArrow(pairs, "q string, r array<string>, score array<double>")
+    each = found.select("q", F.posexplode("r").alias("n", "id"), "score")
+    return each.select(F.col("q").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), F.col("id").cast(dict(docs.dtypes)["id"]).alias("id"), F.get("score", F.col("n")).alias("score"))
+
+
+def weighted(wanted: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
+    """(query_id, terms, values): the terms of each query that documents have, with their weights. ``frequencies``: (term, df)."""
+    known = wanted.join(frequencies, "term").select("query_id", F.struct("term", (F.col("times") * idf(F.lit(n_docs), F.col("df"))).alias("weight")).alias("w"))
+    listed = known.groupBy("query_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    return listed.select("query_id", F.col("w.term").alias("terms"), F.col("w.weight").alias("values"))
+
+
 @dataclass
 class Corpus:
     """A corpus ``docs(id, text)`` that is read anew by each search; the two totals are scalars.
@@ -60,28 +155,18 @@ class Corpus:
         row = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col("text")))).alias("a")).first()
         return cls(docs, row.n, row.a or 0.0)
 
-    def matching(self, wanted: DataFrame) -> DataFrame:
-        """(id, term, tf, doc_len) of the wanted terms only; all rows of a document in one task."""
-        tokens = self.docs.select("id", tokenize(F.col("text")).alias("tokens"))
-        each = tokens.select("id", F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
-        kept = each.join(wanted.select("term").distinct(), "term", "left_semi").repartition("id")
-        return kept.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    def _search(self, queries: DataFrame, k: int | None, asked: int | None) -> DataFrame:
+        asked = queries.count() if asked is None else asked
+        none = F.lit(None)
+        docs = self.docs.select("id", tokenize(F.col("text")).alias("terms"), none.alias("values"), none.alias("doc_len"))
+        return search(weighted(wanted_terms(queries), idf_table(self.docs), self.n_docs), docs, self.n_docs, self.average, k, asked)
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, id, score) of every document that shares a term with ``queries(query_id, query)``.
-
-        Tokens that no query has go before anything is shuffled. What is left
-        is partitioned by document, so the scores are summed where they arise;
-        document frequencies come from the same exchange.
-        """
-        wanted = wanted_terms(queries)
-        found = self.matching(wanted)
-        known = wanted.join(found.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", (F.col("times") * idf(F.lit(self.n_docs), F.col("df"))).alias("weight"))
-        part = term_score(F.col("weight"), F.col("tf"), F.col("doc_len"), F.lit(self.average))
-        return found.join(known, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    def scores(self, queries: DataFrame, asked: int | None = None) -> DataFrame:
+        """(query_id, id, score) of every document that shares a term with ``queries(query_id, query)``."""
+        return self._search(queries, None, asked)
 
-    def topk(self, queries: DataFrame, k: int) -> DataFrame:
-        return top(self.scores(queries), k)
+    def topk(self, queries: DataFrame, k: int, asked: int | None = None) -> DataFrame:
+        return top(self._search(queries, k, asked), k)
 
 
 BUCKETS = 64

@@ -103,7 +103,7 @@ class Arm:
         near = knn_batch(chunk_types.rows_of(found, embed), asking.select("query_id", "vector"), most, config.dim, sizes=(size.rows, asked))
         text = None
         if config.hybrid:
-            text = Corpus(chunk_types.docs_of(found), size.docs, size.average).topk(asking.where("bm25").select("query_id", "query"), most)
+            text = Corpus(chunk_types.docs_of(found), size.docs, size.average).topk(asking.where("bm25").select("query_id", "query"), most, asked)
         return cls(near, text, config)
 
     @staticmethod

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,43 @@ def test_bm25_and_idf(spark):
     assert {(r.term, r.df) for r in fulltext.idf_table(docs).collect()} == {("fn", 2), ("retrieve", 1), ("search", 1)}
 
 
+def many(spark):
+    docs = spark.range(700).select(F.col("id").cast("string"), F.concat_ws(" ", F.lit("all"), F.concat(F.lit("w"), F.col("id") % 7), F.repeat(F.lit("pad "), (F.col("id") % 3).cast("int"))).alias("text"))
+    return docs, docs.where("id < 100").select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+
+
+def unjoined(spark, make):
+    """The rows of a plan and its text, where no join is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = make()
+        return df.collect(), df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    docs, queries = many(spark)
+    corpus = fulltext.Corpus.of(docs)
+    for make in (lambda: corpus.topk(queries, 5), lambda: corpus.scores(queries)):
+        got, plan = unjoined(spark, make)
+        assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+, id#", plan)
+    assert len(got) == 700 * queries.count()
+
+
+def test_bm25_in_cells(spark, monkeypatch):
+    docs, queries = many(spark)
+    corpus = fulltext.Corpus.of(docs)
+    pairs = lambda rows: {(r.query_id, r.id): round(r.score, 9) for r in rows}
+    want, best = pairs(corpus.scores(queries).collect()), pairs(corpus.topk(queries, 5).collect())
+    monkeypatch.setattr(fulltext, "CELL_DOCS", 60)
+    monkeypatch.setattr(fulltext, "CELL_QUERIES", 9)
+    assert pairs(corpus.scores(queries).collect()) == want and pairs(corpus.topk(queries, 5).collect()) == best
+    for q in {q for q, _ in best}:
+        assert sorted(((-s, i) for (p, i), s in want.items() if p == q))[:5] == sorted((-s, i) for (p, i), s in best.items() if p == q)
+
+
 def test_rrf_ties_by_id(spark):
     a = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "query_id string, id string, rank int")
     b = spark.createDataFrame([("q", "y", 1), ("q", "x", 2)], "query_id string, id string, rank int")
