@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 
-NAMES = ["comparison_fusion"]
+NAMES = ["comparison_fusion", "graph_merge"]
 
 
 @pytest.mark.parametrize("name", NAMES)
