@@ -35,10 +35,6 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 
 
-def term_score(idf_value: Column, tf: Column, doc_len: Column, average: Column) -> Column:
-    return idf_value * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / F.when(average > 0, average).otherwise(doc_len)))
-
-
 def wanted_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times): a term that a query repeats counts as often."""
     return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -169,18 +165,19 @@ class Corpus:
         return top(self._search(queries, k, asked), k)
 
 
-BUCKETS = 64
+BUCKETS, SLOTS = 64, 64  # slots in a bucket
 
 
 def write_index(docs: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """The full-text index of ``docs(id, text)``: postings by bucket of the term, with each term's frequency, and the totals.
+    """The full-text index of ``docs(id, text)``: postings by bucket of the term, each term's frequency, and the totals.
 
     The frequency of a term is counted from documents, map side first, so a
-    term that every document has costs one row for each task; postings are
-    spread by term and document.
+    term that every document has costs one row for each task; it is kept apart,
+    so that postings need not be joined.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    postings(docs).join(idf_table(docs), "term").withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    postings(docs).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    idf_table(docs).write.mode("overwrite").parquet(f"{folder}/terms")
     total = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size(tokenize(F.col("text")))), F.lit(0.0)).alias("average"), F.lit(buckets).alias("buckets"))
     total.write.mode("overwrite").parquet(f"{folder}/totals")
 
@@ -190,6 +187,7 @@ class Index:
     """An index that :func:`write_index` wrote; a search reads only the buckets of its terms."""
 
     postings: DataFrame
+    frequencies: DataFrame
     n_docs: int
     average: float
     buckets: int
@@ -197,13 +195,22 @@ class Index:
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Index:
         row = spark.read.parquet(f"{folder}/totals").first()
-        return cls(spark.read.parquet(f"{folder}/postings"), row.n_docs, row.average, row.buckets)
+        found = spark.read.parquet(f"{folder}/postings")
+        # older indices have the frequency in each posting
+        frequencies = found.groupBy("term").agg(F.max("df").alias("df")) if "df" in found.columns else spark.read.parquet(f"{folder}/terms")
+        return cls(found, frequencies, row.n_docs, row.average, row.buckets)
+
+    def _search(self, queries: DataFrame, k: int | None, asked: int | None) -> DataFrame:
+        wanted = wanted_terms(queries)
+        # postings of other terms go by a hash, of which there are too few values to shuffle for; score_cell drops what is left of them
+        slot = F.pmod(F.xxhash64("term"), F.lit(self.buckets * SLOTS)).cast("int")
+        slots = wanted.select(F.pmod(slot, F.lit(self.buckets)).alias("bucket"), slot.alias("slot")).distinct()
+        found = self.postings.withColumn("slot", slot).join(F.broadcast(slots), ["bucket", "slot"], "left_semi")
+        docs = found.select("id", F.array("term").alias("terms"), F.array("tf").alias("values"), "doc_len")
+        return search(weighted(wanted, self.frequencies, self.n_docs), docs, self.n_docs, self.average, k, asked)
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        wanted = wanted_terms(queries).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        found = self.postings.join(wanted, ["bucket", "term"])
-        part = term_score(F.col("times") * idf(F.lit(self.n_docs), F.col("df")), F.col("tf"), F.col("doc_len"), F.lit(self.average))
-        return found.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    def scores(self, queries: DataFrame, asked: int | None = None) -> DataFrame:
+        return self._search(queries, None, asked)
 
-    def topk(self, queries: DataFrame, k: int) -> DataFrame:
-        return top(self.scores(queries), k)
+    def topk(self, queries: DataFrame, k: int, asked: int | None = None) -> DataFrame:
+        return top(self._search(queries, k, asked), k)

@@ -119,6 +119,19 @@ def test_bm25_in_cells(spark, monkeypatch):
         assert sorted(((-s, i) for (p, i), s in want.items() if p == q))[:5] == sorted((-s, i) for (p, i), s in best.items() if p == q)
 
 
+def test_index_search_shuffles_no_pairs(spark, tmp_path):
+    docs, queries = many(spark)
+    fulltext.write_index(docs, str(tmp_path / "index"))
+    index = fulltext.Index.open(spark, str(tmp_path / "index"))
+    got, plan = unjoined(spark, lambda: index.topk(queries, 5))
+    assert not re.search(r"hashpartitioning\(query_id#\d+, id#", plan)
+    rows = lambda d: {(r.query_id, r.id, round(r.score, 9), r["rank"]) for r in d}
+    assert rows(got) == rows(fulltext.Corpus.of(docs).topk(queries, 5).collect())
+    index.postings.join(index.frequencies, "term").write.parquet(str(tmp_path / "older" / "postings"), partitionBy="bucket")
+    spark.read.parquet(str(tmp_path / "index" / "totals")).write.parquet(str(tmp_path / "older" / "totals"))
+    assert rows(fulltext.Index.open(spark, str(tmp_path / "older")).topk(queries, 5).collect()) == rows(got)
+
+
 def test_rrf_ties_by_id(spark):
     a = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "query_id string, id string, rank int")
     b = spark.createDataFrame([("q", "y", 1), ("q", "x", 2)], "query_id string, id string, rank int")
