@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 
-NAMES = ["comparison_fusion", "graph_merge", "fts_index_search", "build_sources", "bm25_score", "code_arm_nary", "graph_reserve", "graph_partition", "bundle_search", "flatten_union"]
+NAMES = ["comparison_fusion", "graph_merge", "fts_index_search", "build_sources", "bm25_score", "code_arm_nary", "graph_reserve", "graph_partition", "bundle_search", "flatten_union", "flatten_rank"]
 
 
 @pytest.mark.parametrize("name", NAMES)
