@@ -16,7 +16,9 @@ from lodestrata.functions.text import tokenize
 from lodestrata.runtime import ship_package
 
 K1, B = 1.2, 0.75
-CELL_DOCS, CELL_QUERIES, AT_ONCE = 8192, 4096, 64
+CELL_DOCS, CELL_QUERIES, CELL_TERMS, AT_ONCE = 32_768, 32_768, 2_000_000, 64
+SLACK = 1e-8  # more than rounding can move a score
+MATRIX, MATRIX_TERMS, GROUP = 30, 128, 64
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -46,8 +48,8 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def score_cell(t: pa.Table, average: float, k: int | None, number: bool) -> Iterator[tuple[list, list]]:
-    """Scores of the documents of a cell for its queries, some queries at a time: (query keys, for each (document keys, scores)).
+def score_cell(t: pa.Table, average: float, k: int | None, number: bool) -> Iterator[tuple[list, list, list, list]]:
+    """Scores of the documents of a cell for its queries, some queries at a time: (query keys, how many documents each has, their keys, their scores).
 
     Rows: asks, key, terms, values, doc_len. A query has its terms' weights as
     values, a document their frequencies, or null where each term stands as
@@ -78,23 +80,50 @@ def score_cell(t: pa.Table, average: float, k: int | None, number: bool) -> Iter
     doc = spot % n
     part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length[doc] / average if average > 0 else 1.0)))
     begin = np.searchsorted(spot // n, np.arange(len(wanted.dictionary) + 1))
+    # terms that many queries have and many documents: multiplied as a matrix, which is faster than to go through their documents
+    here, asked = np.diff(begin), np.bincount(q_term, minlength=len(wanted.dictionary))
+    usual = np.flatnonzero(here * asked * MATRIX > n * len(q))
+    usual = usual[np.argsort(-(here * asked)[usual])][:MATRIX_TERMS]
+    at_row = np.full(len(wanted.dictionary), -1)
+    at_row[usual] = np.arange(len(usual))
+    parts = np.zeros((len(usual), n))
+    for i, j in enumerate(usual):
+        own = slice(begin[j], begin[j + 1])
+        parts[i, doc[own]] = part[own]
+    groups = n // GROUP
 
     for at in range(0, len(q), AT_ONCE):
+        to = min(at + AT_ONCE, len(q))
+        own = slice(q_at[at], q_at[to])
+        of, terms, weights = np.repeat(np.arange(to - at), np.diff(q_at[at : to + 1])), q_term[own], weight[own]
+        matrix = at_row[terms] >= 0
+        w = np.zeros((to - at, len(usual)))
+        np.add.at(w, (of[matrix], at_row[terms[matrix]]), weights[matrix])
+        score = w @ parts
+        for i, j, x in zip(of[~matrix].tolist(), terms[~matrix].tolist(), weights[~matrix].tolist()):
+            own = slice(begin[j], begin[j + 1])
+            score[i][doc[own]] += x * part[own]
+        low = np.zeros(to - at)
+        if k is not None and groups >= k:  # the k-th greatest of the groups' best: k documents have as much
+            tops = score[:, : groups * GROUP].reshape(to - at, groups, GROUP).max(2)
+            low = np.partition(tops, groups - k, axis=1)[:, groups - k] - SLACK
         found = []
-        for i in range(at, min(at + AT_ONCE, len(q))):
-            score = np.zeros(n)
-            for j in range(q_at[i], q_at[i + 1]):
-                own = slice(begin[q_term[j]], begin[q_term[j] + 1])
-                score[doc[own]] += weight[j] * part[own]
-            hits = np.flatnonzero(score)
+        for own, least in zip(score, low):
+            hits = np.flatnonzero(own >= least if least > 0 else own)
             if k is not None:
                 if k < len(hits):
                     # all documents as good as the k-th, however many there are; ids settle ties
-                    last = np.partition(score[hits], len(hits) - k)[len(hits) - k]
-                    hits = hits[score[hits] >= last - 1e-8]
-                hits = hits[np.lexsort((place[hits], -np.round(score[hits], 9)))[:k]]
-            found.append((ids.take(pa.array(hits)), score[hits]))
-        yield column(q, "key")[at : at + AT_ONCE], found
+                    last = np.partition(own[hits], len(hits) - k)[len(hits) - k]
+                    hits = hits[own[hits] >= last - SLACK]
+                hits = hits[np.lexsort((place[hits], -np.round(own[hits], 9)))[:k]]
+            found.append((hits, own[hits]))
+        yield column(q, "key")[at:to], [len(x) for x, _ in found], ids.take(pa.array(np.concatenate([x for x, _ in found]))), np.concatenate([x for _, x in found])
+
+
+def blocks(n_docs: int, asked: int, average: float, k: int | None) -> tuple[int, int]:
+    """Into how many blocks documents and queries are cut. Each side is repeated for each block of the other; long documents make smaller blocks, all pairs more tasks."""
+    size = max(1, min(CELL_DOCS, int(CELL_TERMS / max(average, 1))) // (4 if k is None else 1))
+    return max(1, -(-n_docs // size)), max(1, -(-asked // CELL_QUERIES))
 
 
 def search(queries: DataFrame, docs: DataFrame, n_docs: int, average: float, k: int | None, asked: int | None = None) -> DataFrame:
@@ -107,7 +136,7 @@ def search(queries: DataFrame, docs: DataFrame, n_docs: int, average: float, k:
     that is known.
     """
     ship_package(queries.sparkSession)
-    b_d, b_q = max(1, -(-n_docs // CELL_DOCS)), max(1, -(-(queries.count() if asked is None else asked) // CELL_QUERIES))
+    b_d, b_q = blocks(n_docs, queries.count() if asked is None else asked, average, k)
     cell = (F.col("a") * F.lit(b_q) + F.col("b")).cast("long").alias("cell")
     own = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
     every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
@@ -118,9 +147,9 @@ def search(queries: DataFrame, docs: DataFrame, n_docs: int, average: float, k:
     number = dict(docs.dtypes)["id"] != "string"
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for asking, found in score_cell(pa.Table.from_batches(list(batches)), average, k, number):
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x, _ in found]))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([x for x, _ in found])), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x for _, x in found])))]
+        for asking, sizes, ids, scores in score_cell(pa.Table.from_batches(list(batches)), average, k, number):
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, pa.array(scores))]
             yield pa.RecordBatch.from_arrays([asking, *lists], names=["q", "r", "score"])
 
     found = both.groupBy("cell").applyInArrow(pairs, "q string, r array<string>, score array<double>")

@@ -119,6 +119,43 @@ def test_bm25_in_cells(spark, monkeypatch):
         assert sorted(((-s, i) for (p, i), s in want.items() if p == q))[:5] == sorted((-s, i) for (p, i), s in best.items() if p == q)
 
 
+def test_best_of_a_cell_same_as_all(monkeypatch):
+    """Terms as a matrix or one by one, groups or none, k or all: the same scores and ranks."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)]
+    texts = [[words[min(59, int(x))] for x in rng.exponential(8, 1 + i % 9)] for i in range(500)]
+    made = [(False, f"{i % 450:03d}", x, None, None) for i, x in enumerate(texts)]
+    made += [(True, f"q{i}", sorted(set(x)), [1 + 0.1 * int(w[1:]) for w in sorted(set(x))], None) for i, x in enumerate(texts[:150])]
+    cell = pa.table({n: pa.array(x, t) for n, x, t in zip(("asks", "key", "terms", "values", "doc_len"), zip(*made), (pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.int64()))})
+
+    def lists(k):
+        out = {}
+        for keys, sizes, ids, scores in fulltext.score_cell(cell, 5.0, k, False):
+            ends = np.cumsum(sizes)
+            for q, to, n in zip(keys.to_pylist(), ends, sizes):
+                out[q] = sorted(zip(-np.round(scores[to - n : to], 9), ids.to_pylist()[to - n : to]))
+        return out
+
+    monkeypatch.setattr(fulltext, "MATRIX", 0)
+    want = lists(None)
+    for matrix, group in ((0, 64), (30, 64), (30, 7), (10**9, 7)):
+        monkeypatch.setattr(fulltext, "MATRIX", matrix)
+        monkeypatch.setattr(fulltext, "GROUP", group)
+        for got, most in ((lists(None), None), (lists(10), 10)):
+            assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x[:most]] for q, x in want.items()}
+
+
+def test_blocks():
+    """20,000 questions repeat no document; long documents and all pairs make smaller blocks."""
+    assert fulltext.blocks(1_000_000, 20_000, 15.0, 10) == (31, 1)
+    assert fulltext.blocks(1_000_000, 20_000, 500.0, 10) == (250, 1)
+    assert fulltext.blocks(1_000_000, 20_000, 15.0, None) == (123, 1)
+    assert fulltext.blocks(0, 0, 0.0, 10) == (1, 1)
+
+
 def test_index_search_shuffles_no_pairs(spark, tmp_path):
     docs, queries = many(spark)
     fulltext.write_index(docs, str(tmp_path / "index"))
