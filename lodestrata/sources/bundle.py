@@ -38,8 +38,8 @@ def bundle_rows(t: Tables) -> DataFrame:
 
 
 def write_bundle(t: Tables, folder: str) -> None:
-    """One folder of JSON lines for each section."""
-    bundle_rows(t).write.mode("overwrite").partitionBy("section").text(folder)
+    """One folder of gzipped JSON lines for each section."""
+    bundle_rows(t).write.mode("overwrite").partitionBy("section").text(folder, compression="gzip")
 
 
 def read_bundle(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,8 +3,8 @@ from pathlib import Path
 import pytest
 
 from lodestrata.api import RetrievalEngine
-from lodestrata.sources import parsers, workspace
-from lodestrata.sources.bundle import read_bundle
+from lodestrata.sources import parsers, tables, workspace
+from lodestrata.sources.bundle import read_bundle, write_bundle
 from lodestrata.sources.tables import check_schema_version, newest
 from lodestrata.sources.store import ChunkStore, check_model, ingest_full, ingest_incremental
 from lodestrata.streaming.reconcile import upsert_stream
@@ -111,3 +111,10 @@ def test_engine(spark, tmp_path):
     assert engine.reindex(str(FIXTURES / "workspace")).count() == 15
     engine.export(str(tmp_path / "bundle"))
     assert read_bundle(spark, str(tmp_path / "bundle")).where("section = 'crate'").count() == engine.tables.crates().count()
+
+
+def test_bundle_is_compressed(spark, tmp_path):
+    write_bundle(tables.Tables(spark, "/root/testdata/sf0.001"), str(tmp_path / "bundle"))
+    files = list((tmp_path / "bundle").glob("section=*/part-*"))
+    assert files and all(f.name.endswith(".gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < 0.5 * sum(len(r.json.encode()) + 1 for r in read_bundle(spark, str(tmp_path / "bundle")).collect())
