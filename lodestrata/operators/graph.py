@@ -131,9 +131,9 @@ def augment(targets: DataFrame, edges: DataFrame) -> DataFrame:
 
 def merge(results: DataFrame, graph: DataFrame) -> DataFrame:
     """Results with the graph's rows added; a row that is there keeps its score. (query_id, id, score, from_graph)"""
-    marked = results.join(graph.select("query_id", "id", F.lit(True).alias("g")), ["query_id", "id"], "left").select("query_id", "id", "score", F.coalesce("g", F.lit(False)).alias("from_graph"))
-    fresh = graph.join(results, ["query_id", "id"], "left_anti").select("query_id", "id", "score", F.lit(True).alias("from_graph"))
-    return marked.unionByName(fresh)
+    added = graph.select("query_id", "id", F.col("score").alias("added"), F.lit(True).alias("g"))
+    both = results.select("query_id", "id", "score", F.lit(True).alias("r")).join(added, ["query_id", "id"], "full")
+    return both.select("query_id", "id", F.when(F.col("r"), F.col("score")).otherwise(F.col("added")).alias("score"), F.coalesce("g", F.lit(False)).alias("from_graph"))
 
 
 def reserve(rows: DataFrame, limit: int, least: int | Column) -> DataFrame:

@@ -106,11 +106,15 @@ def graph_tool(t: Tables) -> DataFrame:
     return views[0].unionByName(views[1]).distinct()
 
 
-def target_candidates(t: Tables) -> DataFrame:
-    """First five BM25 rows of each question "What calls …?" about the questioner's own identifier, or without a term."""
+def base_rows(t: Tables, k: int) -> DataFrame:
+    return Corpus.of(docs(t)).topk(text_queries(t), k)
+
+
+def target_candidates(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    """First five BM25 rows of each question "What calls …?" about the questioner's own identifier, or without a term. rows: the search's rows, where it has run."""
     names = t.code("identifier")
     asked = names.where(by_100("chunk_id")).select(c("chunk_id").alias("query_id"), F.when(c("identifier").rlike("^[a-m]"), c("identifier")).alias("term"))
-    found = Corpus.of(docs(t)).topk(text_queries(t), 5).select("query_id", "id", "rank")
+    found = (base_rows(t, 5) if rows is None else rows.where("rank <= 5")).select("query_id", "id", "rank")
     return found.join(names.withColumnRenamed("chunk_id", "id"), "id").join(asked, "query_id")
 
 
@@ -132,8 +136,8 @@ AUGMENT = """directed as (select query_id, chunk_id as node, case how when 1 the
       (select callee as node, caller as id, tier, 'callers' as way from edges union all select caller, callee, tier, 'callees' from edges) using (node) where direction in ('both', way) group by query_id, id)"""
 
 
-def augmented(t: Tables) -> DataFrame:
-    found = graph.resolve_target(target_candidates(t), graph.unique_identifiers(t.code("identifier")))
+def augmented(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    found = graph.resolve_target(target_candidates(t, rows), graph.unique_identifiers(t.code("identifier")))
     way = F.when(c("how") == 1, "callers").when(c("how") == 2, "callees").otherwise("both")
     return graph.augment(found.select("query_id", c("chunk_id").alias("node"), way.alias("direction")), t.edges())
 
@@ -150,8 +154,10 @@ MERGED = """base as (select query_id, id, score / 100 as score, rank from bm),
 
 
 def merged(t: Tables) -> DataFrame:
-    base = Corpus.of(docs(t)).topk(text_queries(t), 10).select("query_id", "id", (c("score") / 100).alias("score"))
-    return graph.merge(base, augmented(t))
+    """One search serves the base list and the targets: neither's filters and columns get below its lists, so both read the same shuffle."""
+    rows = base_rows(t, 10)
+    rows = rows.groupBy("query_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select(F.inline("rows"))
+    return graph.merge(rows.select("query_id", "id", (c("score") / 100).alias("score")), augmented(t, rows))
 
 
 def placed(t: Tables) -> DataFrame:
