@@ -48,8 +48,8 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def score_cell(t: pa.Table, average: float, k: int | None, number: bool) -> Iterator[tuple[list, list, list, list]]:
-    """Scores of the documents of a cell for its queries, some queries at a time: (query keys, how many documents each has, their keys, their scores).
+def score_cell(t: pa.Table, average: float, k: int | None, number: bool) -> Iterator[tuple[pa.Array, list, pa.DictionaryArray, np.ndarray]]:
+    """Scores of the documents of a cell for its queries, some queries at a time: (query keys, how many documents each has, their keys as a dictionary, their scores).
 
     Rows: asks, key, terms, values, doc_len. A query has its terms' weights as
     values, a document their frequencies, or null where each term stands as
@@ -117,7 +117,10 @@ def score_cell(t: pa.Table, average: float, k: int | None, number: bool) -> Iter
                     hits = hits[own[hits] >= last - SLACK]
                 hits = hits[np.lexsort((place[hits], -np.round(own[hits], 9)))[:k]]
             found.append((hits, own[hits]))
-        yield column(q, "key")[at:to], [len(x) for x, _ in found], ids.take(pa.array(np.concatenate([x for x, _ in found]))), np.concatenate([x for _, x in found])
+        hits = np.concatenate([x for x, _ in found])
+        # all pairs name most documents again and again, the best few rarely
+        named = pa.DictionaryArray.from_arrays(pa.array(hits, pa.int32()), ids) if k is None else ids.take(pa.array(hits)).dictionary_encode()
+        yield column(q, "key")[at:to], [len(x) for x, _ in found], named, np.concatenate([x for _, x in found])
 
 
 def blocks(n_docs: int, asked: int, average: float, k: int | None) -> tuple[int, int]:
@@ -137,7 +140,7 @@ def search(queries: DataFrame, docs: DataFrame, n_docs: int, average: float, k:
     """
     ship_package(queries.sparkSession)
     b_d, b_q = blocks(n_docs, queries.count() if asked is None else asked, average, k)
-    cell = (F.col("a") * F.lit(b_q) + F.col("b")).cast("long").alias("cell")
+    cell = (F.col("a") * F.lit(b_q) + F.col("b")).cast("int").alias("cell")
     own = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
     every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
     row = lambda asks, key, length: [F.lit(asks).alias("asks"), F.col(key).cast("string").alias("key"), F.col("terms"), F.col("values").cast("array<double>").alias("values"), length.cast("long").alias("doc_len")]
@@ -148,13 +151,16 @@ def search(queries: DataFrame, docs: DataFrame, n_docs: int, average: float, k:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for asking, sizes, ids, scores in score_cell(pa.Table.from_batches(list(batches)), average, k, number):
-            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, pa.array(scores))]
-            yield pa.RecordBatch.from_arrays([asking, *lists], names=["q", "r", "score"])
-
-    found = both.groupBy("cell").applyInArrow(pairs, "q string, r array<string>, score array<double>")
-    each = found.select("q", F.posexplode("r").alias("n", "id"), "score")
-    return each.select(F.col("q").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), F.col("id").cast(dict(docs.dtypes)["id"]).alias("id"), F.get("score", F.col("n")).alias("score"))
+            lists = [asking, ids.dictionary, pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)), ids.indices, pa.array(scores)]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=["queries", "ids", "q", "r", "score"])
+
+    # a key stands once in a row, however many pairs name it
+    if k is None:  # the more pairs, the longer a cell: each is a task, whatever its number hashes to
+        both = both.repartitionById(b_d * b_q, "cell")
+    found = both.groupBy("cell").applyInArrow(pairs, "queries array<string>, ids array<string>, q array<int>, r array<int>, score array<double>")
+    each = found.select("queries", "ids", "q", "r", F.posexplode("score").alias("n", "score"))
+    key = lambda names, at: F.get(names, F.get(at, F.col("n")))
+    return each.select(key("queries", "q").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), key("ids", "r").cast(dict(docs.dtypes)["id"]).alias("id"), "score")
 
 
 def weighted(wanted: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:

@@ -76,7 +76,8 @@ def fts_postings(t: Tables) -> DataFrame:
 
 @query(f"with {BM} select query_id, id, round(score, 6) as score from scores")
 def bm25_score(t: Tables) -> DataFrame:
-    return Corpus.of(docs(t)).scores(text_queries(t)).select("query_id", "id", F.round("score", 6).alias("score"))
+    # positive scores rounded as the SQL does; F.round goes through a decimal for each of the pairs
+    return Corpus.of(docs(t)).scores(text_queries(t)).select("query_id", "id", (F.floor(c("score") * 1e6 + 0.5) / F.lit(1e6)).alias("score"))
 
 
 @query(f"with {BM} select query_id, id, round(score, 6) as score, rank from bm")

@@ -28,3 +28,28 @@ def test_merge_keeps_rows_without_score_and_null_keys(spark):
     found = spark.createDataFrame([("q", "a", 0.85), ("q", "c", 0.8), ("q", None, 0.75)], "query_id string, id string, score double")
     want = [("q", "a", None, True), ("q", "b", 0.5, False), ("q", None, 0.1, False), ("q", "c", 0.8, True), ("q", None, 0.75, True)]
     assert Counter(map(tuple, graph.merge(results, found).collect())) == Counter(want)
+
+
+def test_all_pairs_name_each_document_once_for_many_questions():
+    """A batch of questions has the documents' keys once, and places for its pairs."""
+    import pyarrow as pa
+
+    from lodestrata.operators.fulltext import score_cell
+
+    rows = [(True, f"q{i}", ["a", "b"], [1.0, 0.5], None) for i in range(5)] + [(False, f"d{i}", ["a", "b"], None, None) for i in range(7)]
+    kinds = [("asks", pa.bool_()), ("key", pa.string()), ("terms", pa.list_(pa.string())), ("values", pa.list_(pa.float64())), ("doc_len", pa.int64())]
+    cell = pa.table([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
+    for k in (None, 2):
+        ((asking, sizes, ids, scores),) = score_cell(cell, 2.0, k, False)
+        assert asking.to_pylist() == [f"q{i}" for i in range(5)] and sizes == [k or 7] * 5 and len(scores) == len(ids) == 5 * (k or 7)
+        assert sorted(ids.dictionary.to_pylist()) == [f"d{i}" for i in range(k or 7)]
+        assert [ids[i].as_py() for i in range(k or 7)] == [f"d{i}" for i in range(k or 7)]
+
+
+def test_all_pairs_have_a_task_for_each_cell(spark, monkeypatch):
+    from lodestrata.operators import fulltext
+
+    monkeypatch.setattr(fulltext, "CELL_DOCS", 40)
+    docs = spark.createDataFrame([(f"d{i:03d}", f"word w{i % 7}") for i in range(50)], "id string, text string")
+    found = fulltext.Corpus.of(docs).scores(docs.limit(3).selectExpr("id as query_id", "text as query"))
+    assert found.count() == 150 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
