@@ -53,3 +53,16 @@ def test_all_pairs_have_a_task_for_each_cell(spark, monkeypatch):
     docs = spark.createDataFrame([(f"d{i:03d}", f"word w{i % 7}") for i in range(50)], "id string, text string")
     found = fulltext.Corpus.of(docs).scores(docs.limit(3).selectExpr("id as query_id", "text as query"))
     assert found.count() == 150 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_sent_once_for_many_questions(spark):
+    """8,000 questions make one block, and floats stay floats on their way; distances are as from doubles."""
+    from lodestrata.operators import vectors
+
+    assert vectors.blocks(800_000, 8_000) == (49, 1)
+    rows = spark.createDataFrame([(i, [0.1 * i, 1.0 / (i + 3)]) for i in range(30)], "id long, vector array<float>")
+    asked = rows.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    found = vectors.knn_batch(rows, asked, 3, 2, 8)
+    assert "array<double>" not in found._jdf.queryExecution().executedPlan().toString()
+    double = lambda d: d.withColumn("vector", d.vector.cast("array<double>"))
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, vectors.knn_batch(double(rows), double(asked), 3, 2, 8).collect()))
