@@ -136,6 +136,30 @@ def merge(results: DataFrame, graph: DataFrame) -> DataFrame:
     return both.select("query_id", "id", F.when(F.col("r"), F.col("score")).otherwise(F.col("added")).alias("score"), F.coalesce("g", F.lit(False)).alias("from_graph"))
 
 
+def merge_best(results: DataFrame, targets: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """Of the results merged with :func:`augment`: all results, and of the graph's other rows those among each question's best ``n``, ties by id.
+
+    The links of a target are found and ranked once, whatever the number of
+    questions about it: each question then asks for its results among them and
+    for the best ``n``, so a chunk that many edges lead to isn't repeated with
+    all its links.
+    """
+    asks = [x for x in targets.columns if x != "query_id"]
+    about = targets.select("query_id", F.struct(*asks).alias("about"))
+    links = augment(about.select(F.col("about").alias("query_id"), "about.*").distinct(), edges).withColumnRenamed("query_id", "about")
+    w = Window.partitionBy("about").orderBy(F.desc(F.round("score", 9)), "id")
+    own, any_id = F.struct(F.lit(True).alias("own"), F.col("id").alias("want")), F.struct(F.lit(False).alias("own"), F.lit("").alias("want"))
+    kinds = F.when(F.row_number().over(w) <= n, F.array(own, any_id)).otherwise(F.array(own))
+    found = links.withColumn("kinds", kinds).select("about", F.col("id").alias("linked"), F.col("score").alias("added"), F.lit(True).alias("g"), F.inline("kinds"))
+    lists = results.groupBy("query_id").agg(F.collect_list(F.struct("id", "score")).alias("rows")).join(about, "query_id", "full")
+    kind = lambda own, want, score, ids: F.struct(F.lit(own).alias("own"), want.alias("want"), score.cast("double").alias("score"), ids.cast("array<string>").alias("ids"))
+    asked = F.concat(F.transform(F.coalesce("rows", F.array()), lambda r: kind(True, r.id, r.score, F.lit(None))), F.array(kind(False, F.lit(""), F.lit(None), F.col("rows.id"))))
+    both = lists.select("query_id", "about", F.inline(asked)).join(found, ["about", "own", "want"], "left")
+    new = F.col("g") & ~F.coalesce(F.array_contains("ids", F.col("linked")), F.lit(False))
+    mine = lambda a, b: F.when(F.col("own"), F.col(a)).otherwise(F.col(b))
+    return both.where(F.col("own") | new).select("query_id", mine("want", "linked").alias("id"), mine("score", "added").alias("score"), F.coalesce("g", F.lit(False)).alias("from_graph"))
+
+
 def reserve(rows: DataFrame, limit: int, least: int | Column) -> DataFrame:
     """The first ``limit`` of ``rows(query_id, id, score, from_graph, pos)``, at least ``least`` of them from the graph if there are so many.
 

@@ -136,10 +136,14 @@ AUGMENT = """directed as (select query_id, chunk_id as node, case how when 1 the
       (select callee as node, caller as id, tier, 'callers' as way from edges union all select caller, callee, tier, 'callees' from edges) using (node) where direction in ('both', way) group by query_id, id)"""
 
 
-def augmented(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+def directed(t: Tables, rows: DataFrame | None = None) -> DataFrame:
     found = graph.resolve_target(target_candidates(t, rows), graph.unique_identifiers(t.code("identifier")))
     way = F.when(c("how") == 1, "callers").when(c("how") == 2, "callees").otherwise("both")
-    return graph.augment(found.select("query_id", c("chunk_id").alias("node"), way.alias("direction")), t.edges())
+    return found.select("query_id", c("chunk_id").alias("node"), way.alias("direction"))
+
+
+def augmented(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    return graph.augment(directed(t, rows), t.edges())
 
 
 @query(f"with {BM}, {EDGES}, {UNIQUE}, {TARGET}, {AUGMENT} select query_id, id, score from aug")
@@ -153,18 +157,23 @@ MERGED = """base as (select query_id, id, score / 100 as score, rank from bm),
     placed as (select *, row_number() over (partition by query_id order by from_graph, round(score, 9) desc, id) as pos from merged)"""
 
 
-def merged(t: Tables) -> DataFrame:
-    """One search serves the base list and the targets: neither's filters and columns get below its lists, so both read the same shuffle."""
-    rows = base_rows(t, 10)
-    rows = rows.groupBy("query_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select(F.inline("rows"))
-    return graph.merge(rows.select("query_id", "id", (c("score") / 100).alias("score")), augmented(t, rows))
+def listed(rows: DataFrame) -> DataFrame:
+    """The same rows; no filters or columns of later steps get below the lists, so all that read them read the same shuffle."""
+    return rows.groupBy("query_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select(F.inline("rows"))
+
+
+def merged(t: Tables, best: int | None = None) -> DataFrame:
+    """One search serves the base list and the targets. best: only so many of the graph's rows that the base list hasn't are wanted of each question."""
+    rows = listed(base_rows(t, 10))
+    base = rows.select("query_id", "id", (c("score") / 100).alias("score"))
+    return graph.merge(base, augmented(t, rows)) if best is None else graph.merge_best(base, listed(directed(t, rows)), t.edges(), best + 10)
 
 
-def placed(t: Tables) -> DataFrame:
+def placed(t: Tables, best: int | None = None) -> DataFrame:
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("query_id").orderBy("from_graph", F.desc(F.round("score", 9)), "id")
-    return merged(t).withColumn("pos", F.row_number().over(w))
+    return merged(t, best).withColumn("pos", F.row_number().over(w))
 
 
 G_BASE = f"with {BM}, {EDGES}, {UNIQUE}, {TARGET}, {AUGMENT}, {MERGED}"
@@ -192,7 +201,8 @@ def graph_reserve(t: Tables) -> DataFrame:
     select query_id, id, round(score, 6) as score, from_graph, rank from (select *, row_number() over (partition by query_id order by from_graph desc, nth) as rank from n where not from_graph or nth <= 4) where rank <= 5"""
 )
 def graph_partition(t: Tables) -> DataFrame:
-    return graph.prepend(placed(t), 5).select("query_id", "id", F.round("score", 6).alias("score"), "from_graph", c("rank").cast("long").alias("rank"))
+    # prepend takes four of the graph's rows at most; of the best fourteen the base list has ten at most
+    return graph.prepend(placed(t, 4), 5).select("query_id", "id", F.round("score", 6).alias("score"), "from_graph", c("rank").cast("long").alias("rank"))
 
 
 # --- edges: the calls of the stored graph, resolved again ----------------------------------------

@@ -66,3 +66,43 @@ def test_vectors_are_sent_once_for_many_questions(spark):
     assert "array<double>" not in found._jdf.queryExecution().executedPlan().toString()
     double = lambda d: d.withColumn("vector", d.vector.cast("array<double>"))
     assert Counter(map(tuple, found.collect())) == Counter(map(tuple, vectors.knn_batch(double(rows), double(asked), 3, 2, 8).collect()))
+
+
+def test_links_of_a_hot_chunk_are_not_repeated_for_each_question(spark, tmp_path):
+    """graph_partition on 60 questions about one chunk that 500 edges lead to: as SQL says, and its shuffles don't carry 60 x 500 rows."""
+    import duckdb
+
+    ids = [f"{i:052x}{100 * i:012x}" for i in range(60)]
+    chunks = [(x, "getValue", "getValue getValue get value", 1) for x in ids]
+    links = [(f"e{i}", f"{9000 + i:064x}", ids[0], 1 + i % 3) for i in range(500)] + [(f"f{i}", ids[-i - 1], ids[0], 3) for i in range(55)]
+    named = [f"'' as {x}" for x in ("caller_identifier", "callee_identifier", "caller_file", "callee_file", "project_name")]
+    spark.createDataFrame(chunks, "chunk_id string, identifier string, searchable_text string, ingested_at long").write.parquet(f"{tmp_path}/code_chunks.parquet")
+    spark.createDataFrame(links, "edge_id string, caller_chunk_id string, callee_chunk_id string, resolution_tier int").selectExpr("*", *named).write.parquet(f"{tmp_path}/call_edges.parquet")
+    sc = spark.sparkContext
+
+    def stages() -> dict:
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    got = __spark_entry__.queries()["graph_partition"](spark, str(tmp_path)).collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    con = duckdb.connect()
+    for t in ("code_chunks", "call_edges"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert Counter(map(tuple, got)) == Counter(con.execute(__spark_entry__.oracle_sql()["graph_partition"]).fetchall()) and len(got) == 60 * 5
+    assert max(n for x, n in stages().items() if x not in before) < 10_000
+
+
+def test_best_links_are_enough_to_prepend(spark):
+    """Four rows of the graph are prepended, ten results may be among them: the best fourteen and those that are results give the same as all."""
+    import random
+
+    r = random.Random(7)
+    nodes = [f"n{i:02d}" for i in range(40)]
+    edges = spark.createDataFrame([(r.choice(nodes), r.choice(nodes[:3] if i % 2 else nodes), r.choice([1, 2, 3, None])) for i in range(600)], "caller string, callee string, tier int")
+    targets = spark.createDataFrame([(f"q{i}", nodes[i % 5], ("callers", "callees", "both")[i % 3]) for i in range(30)], "query_id string, node string, direction string")
+    results = spark.createDataFrame([(f"q{i}", x, r.random()) for i in range(3, 32) for x in r.sample(nodes, 10)], "query_id string, id string, score double")
+    last = lambda merged: Counter(map(tuple, graph.prepend(merged.selectExpr("*", "row_number() over (partition by query_id order by from_graph, round(score, 9) desc, id) as pos"), 5).collect()))
+    every, best = graph.merge(results, graph.augment(targets, edges)), graph.merge_best(results, targets, edges, 14)
+    assert last(every) == last(best) and best.count() < every.count()
